@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, secrets, urlfilter
+from . import bpe, chat, fingerprints, jaccard_join, secrets, substring, urlfilter
 
 
 def queries():
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op2_secret_scans": secrets.op2_secret_scans,
+        "op3_ngram_jaccard_join": jaccard_join.op3_ngram_jaccard_join,
+        "op5_substring_dedup": substring.op5_substring_dedup,
         "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
         "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_url_filters": urlfilter.op10_url_filters,
