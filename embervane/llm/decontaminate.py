@@ -45,10 +45,10 @@ def words_of(text):
 
 
 def grams(words, k: int):
-    """Hashes of all runs of k words, in order."""
-    n = F.size(words) - k
-    run = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), run)).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of all runs of k words, in order (the words are bound once, as the outer lambda's variable)."""
+    run = lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])
+    all_runs = lambda w: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: run(w, i)))
+    return F.coalesce(F.get(F.transform(F.array(words), all_runs), F.lit(0)), F.array().cast("array<bigint>"))
 
 
 def _blocks(fingerprint, radius: int):
