@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import struct
 import tempfile
 import uuid
 
@@ -30,17 +32,54 @@ def cut(df: DataFrame) -> DataFrame:
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again (columns can be pruned)."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    out = spark.read.schema(schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
-def drop_staged(spark: SparkSession, tag_path: str) -> None:
-    """Delete a staged table."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(tag_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of what is finished: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+MAX_BLOOM_BLOCKS = 1 << 18
+
+
+def _bloom_mask(h):
+    bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, s), F.lit(64)).cast("int"))
+    return bit(0).bitwiseOR(bit(8)).bitwiseOR(bit(16)).bitwiseOR(bit(24))
+
+
+def semi_reduced(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``big`` without most rows that have no partner in ``keys``: what a join needn't shuffle.
+
+    A blocked Bloom filter of at most MAX_BLOOM_BLOCKS 64-bit blocks (2 MB); with more keys than it
+    holds it lets more rows pass and never drops a partner.
+    """
+    n = keys.count()
+    blocks = min(MAX_BLOOM_BLOCKS, max(16, 1 << (n // 4).bit_length()))
+    h = F.xxhash64(*on)
+    at = lambda x: F.pmod(F.shiftright(x, 32), F.lit(blocks)).cast("int")
+    held = keys.select(h.alias("h")).groupBy(at(F.col("h")).alias("b")).agg(F.bit_or(_bloom_mask(F.col("h"))).alias("m"))
+    rows = {r["b"]: r["m"] for r in held.collect()}  # at most one for each block
+    packed = struct.pack(f">{blocks}q", *[rows.get(i, 0) for i in range(blocks)])
+    table = F.lit(packed)
+    word = F.conv(F.hex(F.substring(table, at(h) * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    return big.where(word.bitwiseAND(_bloom_mask(h)) == _bloom_mask(h))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel
-from .common import cut, read, staged
+from .common import cut, read, semi_reduced, staged, unstage
 
 KEYS = 8
 BUCKETS = 1 << 20
@@ -225,12 +225,14 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
     repeated = not told.groupBy("doc_id", "key").count().where("count > 1").limit(1).isEmpty()
     pivot = _pivots(nodes, 0.5).withColumn("pivot", F.lit(True))
     nodes = staged(nodes.join(pivot, "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False))), "nodes")
+    described, told = told, staged(told.select("doc_id", "key", "n", "node"), "told")
+    unstage(described)
 
     pairs = staged(_candidates(nodes, percent), "pairs")
     rest = nodes.where("NOT pivot")
     wanted = rest.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = nodes.select("node", "doc_id", "key").join(wanted, "node", "left_semi")
-    texts = rows.join(texts, ["doc_id", "key"]).select("node", "text")
+    texts = semi_reduced(rows, texts, ["doc_id", "key"]).join(texts, ["doc_id", "key"]).select("node", "text")
     sets = texts.mapInArrow(_ranked_sets(k, order), "node long, items array<long>")
     sets = staged(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
     links = staged(_verified(pairs, sets, percent), "links")
