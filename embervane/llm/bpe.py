@@ -37,12 +37,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import read, small
 
 DEFAULT_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MAX_PAIRS = 1_000_000
+MAX_PAIRS = 400_000
 EMIT_EVERY = 2048
-MAX_PIECES = 300_000
+MAX_PIECES = 150_000
 LONGEST_CACHED_PIECE = 64
 DECODE_SLICE = 4096
 
@@ -295,7 +295,7 @@ def codec(vocabulary: str, pattern: str | None = None) -> Codec:
 def digest_batches(vocabulary: str) -> callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
-        for batch in batches:
+        for batch in small(batches, 1):
             n_tokens, ids, texts = [], [], []
             for text in batch.column(1):
                 packed = c.encode_packed(text.as_py() or "")
@@ -325,7 +325,7 @@ def encode_frame(docs: DataFrame, text_col: str = "text", out_col: str = "ids",
         import numpy as np
 
         c = codec(vocabulary)
-        for batch in batches:
+        for batch in small(batches, at, 1 << 20):
             packed = [c.encode_packed(t.as_py() or "") for t in batch.column(at)]
             sizes = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
             flat = array.array("i")
@@ -349,7 +349,7 @@ def decode_frame(docs: DataFrame, ids_col: str = "ids", out_col: str = "decoded"
         import array
 
         c = codec(vocabulary)
-        for batch in batches:
+        for batch in small(batches, at, 1 << 20):
             out = ["".join(c.decode_text(array.array("I", ids.as_py() or []).tobytes())) for ids in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*names, out_col])
 

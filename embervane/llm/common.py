@@ -50,6 +50,15 @@ def unstage(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def small(batches, text_at: int, limit: int = 4 << 20):
+    """Arrow batches cut into slices of about ``limit`` bytes of text, so that a task holds little at a time."""
+    for batch in batches:
+        n = max(1, len(batch))
+        step = max(1, n * limit // max(limit, batch.column(text_at).nbytes))
+        for lo in range(0, len(batch), step):
+            yield batch.slice(lo, step)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of what is finished: it does so when the driver's garbage is collected."""
     gc.collect()

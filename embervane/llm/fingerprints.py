@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel
-from .common import partitions, read
+from .common import partitions, read, small
 
 BINS, BITS, SHINGLE = 256, 4, 5
 _ATTEMPTS = 64
@@ -135,7 +135,7 @@ def _edited(text: str, following: str) -> str:
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None  # the row before: (bucket, doc_id, text, fingerprint)
-    for batch in batches:
+    for batch in small(batches, 3):
         bucket, head, ids, texts = (batch.column(i) for i in range(4))
         texts = texts.cast(pa.large_string())
         prints = fingerprint_column(texts)

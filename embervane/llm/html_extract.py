@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import read, small
 
 TRAIN_PAGES, SEED = 700, 7
 TREES, DEPTH, RATE, HIST = 60, 4, 0.2, 32
@@ -475,7 +475,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     forest, kept = model(), [pages.schema[c] for c in keep]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, len(kept)):
             texts = extract_texts(forest, [s or "" for s in batch.column(len(kept)).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(len(kept))], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"]

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel
-from .common import cut, read, semi_reduced, staged, unstage
+from .common import cut, read, semi_reduced, small, staged, unstage
 
 KEYS = 8
 BUCKETS = 1 << 20
@@ -123,7 +123,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def _describe(k: int, percent: int, order: Order):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, key, text) -> (doc_id, key, n, node, prefix, keys)."""
-        for batch in batches:
+        for batch in small(batches, 2):
             sizes, nodes, prefixes, keys = [], [], [], []
             for s in _sets(batch.column(2), k):
                 n = len(s)
@@ -141,11 +141,32 @@ def _describe(k: int, percent: int, order: Order):
     return run
 
 
-def _ranked_sets(k: int, order: Order):
+def _prefixes(k: int, order: Order, percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(node, text) -> (node, its set in the common order)."""
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([order.sort(s) for s in _sets(batch.column(1), k)])], ["node", "items"])
+        """(node, text) -> (node, n, prefix) for pairs at least so similar."""
+        for batch in small(batches, 1):
+            ranked = [order.sort(s) for s in _sets(batch.column(1), k)]
+            cut_at = [len(s) - needed(len(s), percent) + 1 for s in ranked]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in ranked], pa.int64()), _lists([s[:c] for s, c in zip(ranked, cut_at)])], ["node", "n", "prefix"]
+            )
+
+    return run
+
+
+def _overlaps(k: int, columns: list[str]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(columns..., text of a, text of b) -> (columns..., size of the intersection, of the union)."""
+        n = len(columns)
+        for batch in small(batches, n):
+            inter, either = [], []
+            for x, y in zip(_sets(batch.column(n), k), _sets(batch.column(n + 1), k)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                inter.append(both)
+                either.append(len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i) for i in range(n)], pa.array(inter, pa.int64()), pa.array(either, pa.int64())], [*columns, "inter", "either"]
+            )
 
     return run
 
@@ -167,14 +188,14 @@ def _candidates(items: DataFrame, percent: int) -> DataFrame:
     return a.join(b, "s").where(fits).select("a", "b", "pa", "pb").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """``pairs`` at least so similar, with ``inter`` and ``either`` (the sizes of intersection and union)."""
-    a = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
-    b = sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))
-    both = pairs.join(a, "a").join(b, "b")
-    both = both.withColumn("inter", F.size(F.array_intersect("ia", "ib")))
-    both = both.withColumn("either", F.size("ia") + F.size("ib") - F.col("inter")).drop("ia", "ib")
-    return both.where(F.col("inter") * 100 >= F.col("either") * percent)
+    a = texts.select(F.col("node").alias("a"), F.col("text").alias("_ta"))
+    b = texts.select(F.col("node").alias("b"), F.col("text").alias("_tb"))
+    columns = pairs.columns
+    both = pairs.join(a, "a").join(b, "b").select(*columns, "_ta", "_tb")
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields], "inter long, either long"])
+    return both.mapInArrow(_overlaps(k, columns), schema).where(F.col("inter") * 100 >= F.col("either") * percent)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -216,15 +237,18 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
     told = staged(rows.mapInArrow(_describe(k, percent, order), kind), "described")
 
     # Classes of equal sets, each with its least document; one row of a class stands for it.
-    where = F.struct("doc_id", "key")
-    classes = told.where("n > 0 AND doc_id IS NOT NULL").groupBy("node", "n").agg(F.min(where).alias("at"))
-    nodes = classes.select("node", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.key").alias("key"))
-    one = told.where("n > 0").select("doc_id", "key", "node", "prefix", "keys").dropDuplicates(["doc_id", "key", "node"])
-    nodes = nodes.join(one, ["doc_id", "key", "node"])
-    # Rows that share an id and a text are alike, so either may give a class its set.
+    usable = told.where("n > 0 AND doc_id IS NOT NULL")
+    classes = usable.groupBy("node", "n").agg(F.min(F.struct("doc_id", "key")).alias("at"))
+    classes = staged(classes.select("node", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.key").alias("key")), "classes")
+    # Rows that share an id and a text are alike, so any of them may give a class its set.
     repeated = not told.groupBy("doc_id", "key").count().where("count > 1").limit(1).isEmpty()
-    pivot = _pivots(nodes, 0.5).withColumn("pivot", F.lit(True))
-    nodes = staged(nodes.join(pivot, "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False))), "nodes")
+    one = told.select("doc_id", "key", "node", "keys")
+    one = (one.dropDuplicates(["doc_id", "key"]) if repeated else one).join(classes, ["doc_id", "key", "node"]).select("node", "keys")
+    pivot = _pivots(one, 0.5).withColumn("pivot", F.lit(True))
+    classes = classes.join(pivot, "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
+    one = told.select("doc_id", "key", "node", "prefix", "keys")
+    nodes = (one.dropDuplicates(["doc_id", "key"]) if repeated else one).join(classes, ["doc_id", "key", "node"])
+    nodes = staged(nodes, "nodes")
     described, told = told, staged(told.select("doc_id", "key", "n", "node"), "told")
     unstage(described)
 
@@ -233,9 +257,8 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
     wanted = rest.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = nodes.select("node", "doc_id", "key").join(wanted, "node", "left_semi")
     texts = semi_reduced(rows, texts, ["doc_id", "key"]).join(texts, ["doc_id", "key"]).select("node", "text")
-    sets = texts.mapInArrow(_ranked_sets(k, order), "node long, items array<long>")
-    sets = staged(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
-    links = staged(_verified(pairs, sets, percent), "links")
+    texts = staged(texts.dropDuplicates(["node"]) if repeated else texts, "texts")
+    links = staged(_verified(pairs, texts, k, percent), "links")
 
     # Deeper levels of the recursion: new pivots among what is linked with none.
     found, left = [links], rest.join(_ends(links), "node", "left_anti")
@@ -245,7 +268,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
             break
         new = staged(_pivots(left, share) if share >= 0 else left.select("node"), "pivots")
         level = rest.drop("pivot").join(new.withColumn("pivot", F.lit(True)), "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
-        more = staged(_verified(_candidates(level, percent), sets, percent), "links")
+        more = staged(_verified(_candidates(level, percent), texts, k, percent), "links")
         found.append(more)
         left = left.join(new, "node", "left_anti").join(_ends(more), "node", "left_anti")
         rest = staged(rest.join(new, "node", "left_anti"), "rest")
@@ -254,7 +277,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
     for more in found[1:]:
         edges = edges.unionByName(more)
     label = staged(components(edges), "labels")
-    late = _region_links(edges, rest, sets, label, percent)
+    late = _region_links(edges, rest, texts, label, k, percent, order)
     if not late.isEmpty():
         label = staged(components(edges.select("a", "b").unionByName(late)), "labels")
 
@@ -270,7 +293,7 @@ def _ends(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
 
 
-def _region_links(edges: DataFrame, rest: DataFrame, sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+def _region_links(edges: DataFrame, rest: DataFrame, texts: DataFrame, label: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
     """Links between members of regions (no pivots) that lie in different components so far.
 
     x is in the region of its nearest pivot p; y comes in by the window d(y, p) <= d(x, p) + e.
@@ -286,22 +309,22 @@ def _region_links(edges: DataFrame, rest: DataFrame, sets: DataFrame, label: Dat
     owners = member.groupBy("p").agg(F.max("d").alias("reach"), F.min("cx").alias("c_min"), F.max("cx").alias("c_max"))
     owners = staged(owners, "owners")
 
-    size = F.size("items")
-    prefix = F.slice("items", F.lit(1), size - F.floor((size * wide + 99) / 100).cast("int") + 1)
-    probe = sets.join(member.select(F.col("x").alias("node")), "node", "left_semi").select(F.col("node").alias("y"), size.alias("ny"), F.explode(prefix).alias("s"))
-    probe = probe.join(label.select(F.col("node").alias("y"), F.col("label").alias("cy")), "y")
-    index = sets.join(owners.withColumnRenamed("p", "node"), "node").select(
-        F.col("node").alias("p"), size.alias("np"), "c_min", "c_max", "reach", F.explode(prefix).alias("s")
+    parts = texts.join(member.select(F.col("x").alias("node")).union(owners.select("p")).distinct(), "node", "left_semi").select("node", "text")
+    parts = staged(parts.mapInArrow(_prefixes(k, order, wide), "node long, n long, prefix array<long>"), "prefixes")
+    probe = parts.join(label, "node").select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("cy"), F.explode("prefix").alias("s"))
+    probe = probe.join(member.select(F.col("x").alias("y")), "y", "left_semi")
+    index = parts.join(owners.withColumnRenamed("p", "node"), "node").select(
+        F.col("node").alias("p"), F.col("n").alias("np"), "c_min", "c_max", "reach", F.explode("prefix").alias("s")
     )
     # A region all of whose members are in y's component has nothing to gain from y.
     useful = (F.col("c_min") != F.col("cy")) | (F.col("c_max") != F.col("cy"))
     fits = F.least("ny", "np") * 100 >= F.greatest("ny", "np") * wide
     ring = probe.join(index, "s").where(useful & fits).select(F.col("y").alias("a"), F.col("p").alias("b"), "cy", "reach").distinct()
-    ring = _verified(ring, sets, wide).withColumn("dy", 1 - F.col("inter") / F.col("either"))
+    ring = _verified(ring, texts, k, wide).withColumn("dy", 1 - F.col("inter") / F.col("either"))
     ring = staged(ring.where(F.col("dy") <= F.col("reach") + e + 1e-9).select(F.col("a").alias("y"), F.col("b").alias("p"), "cy", "dy"), "ring")
     pairs = member.join(ring, "p").where((F.col("cx") != F.col("cy")) & (F.col("dy") <= F.col("d") + e + 1e-9))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return staged(_verified(pairs, sets, percent).select("a", "b"), "late")
+    return staged(_verified(pairs, texts, k, percent).select("a", "b"), "late")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel
-from .common import read, staged
+from .common import read, small, staged
 
 WINDOW, GRAM = 50, 10
 
@@ -145,7 +145,7 @@ def intervals(positions: list[int], window: int) -> list[tuple[int, int]]:
 def _cut_texts(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, text, copy, positions) -> (doc_id, n_words, n_removed, kept text, intervals)."""
-        for batch in batches:
+        for batch in small(batches, 1):
             raw, offsets = textkernel.text_buffers(batch.column(1))
             copy = batch.column(2).to_pylist()
             positions = batch.column(3)

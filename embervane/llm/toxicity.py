@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel
-from .common import read
+from .common import read, small
 
 MAX_TRAIN_DOCS = 20_000
 MAX_FEATURES = 20_000
@@ -365,7 +365,7 @@ def _document_marginals(field: Field, col: pa.Array) -> Iterator[tuple[int, Toke
 
 def _evidence_of(field: Field):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1):
             e = [_evidence(p) for *_, p in _document_marginals(field, batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int32()), pa.array([x[0] for x in e], pa.float64()), pa.array([x[1] for x in e], pa.float64())], ["toxic", "odds", "total"]
@@ -384,7 +384,7 @@ def score_documents(docs: DataFrame, field: Field, text_col: str = "text", keep:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
-        for batch in batches:
+        for batch in small(batches, len(kept)):
             scores, spans = [], []
             last, points = None, None
             for r, t, piece, own, p in _document_marginals(field, batch.column(len(kept))):
