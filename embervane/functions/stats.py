@@ -35,7 +35,8 @@ def minmax(x, keys: list[str], lo: float = 5.0, hi: float = 95.0) -> Column:
 
 
 def clip(x, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(_c(x), F.lit(lo)), F.lit(hi))
+    """Null stays null (greatest and least alone would skip it)."""
+    return F.when(_c(x).isNotNull(), F.least(F.greatest(_c(x), F.lit(lo)), F.lit(hi)))
 
 
 def median(x, keys: list[str]) -> Column:

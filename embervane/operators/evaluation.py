@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import confidence, stats
+from ..session import cut
 from . import context as ctx
 from . import flagging, kernels, scoring
 
@@ -157,7 +158,8 @@ def screen(
     min_trust: float | None = None, min_scored: int = scoring.MIN_SCORED, **score_args,
 ) -> DataFrame:
     """Scores, flags and confidence in one call: no class mapping, no merging, no fusion."""
-    out = scoring.score_slices(df, keys, id_col, min_scored=min_scored, **score_args)
+    df = cut(df)  # read by every branch of the scorer
+    out = cut(scoring.score_slices(df, keys, id_col, min_scored=min_scored, **score_args))
     out = flagging.flag(out, keys, id_col, mode=mode, k=mad_k, scored="scored")
     out = out.withColumn("confidence", confidence.curve("mean_score", flagged="flagged"))
     if min_trust is not None:

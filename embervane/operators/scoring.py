@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats, vectors
+from ..session import cut
 from . import kernels
 
 MIN_SCORED = 50
@@ -90,6 +91,7 @@ def score_hierarchy(
         groups = part if groups is None else groups.unionByName(part)
     keys = [*context, "_level", "_class"]
     near_id = groups.withColumn("_id", F.struct(F.col(id_col), "_level"))
+    near_id = cut(near_id)
     scored = score_slices(near_id.drop("slice_n"), keys, "_id", vec, k, mode, trim, percentiles, min_scored)
     return scored.where("_target").drop("_target", "_level", "_class", "_id", "slice_n").join(df.select(id_col, "slice_n"), id_col)
 

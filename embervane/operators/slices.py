@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..session import cut
 
 
 def require_columns(df: DataFrame, cols: list[str]) -> None:
@@ -40,13 +41,8 @@ def merge_map(counts: DataFrame, neighbours: DataFrame, keys: list[str], cell: s
     All moves of an iteration happen at once; ties go to the smallest cell.  Only
     slices, never rows, are worked on; each iteration is one checkpointed plan.
     """
-    spark = counts.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="embervane-"))
-    state = counts.select(*keys, F.col(cell).alias("origin"), F.col(cell).alias("now"), F.col("n").cast("long").alias("n")).checkpoint()
+    state = counts.select(*keys, F.col(cell).alias("origin"), F.col(cell).alias("now"), F.col("n").cast("long").alias("n"))
+    state = cut(state)
     edges = neighbours.select(F.col("cell").alias("now"), F.col("neighbour").alias("to"))
     before = None
     for _ in range(max_iterations):
@@ -61,7 +57,7 @@ def merge_map(counts: DataFrame, neighbours: DataFrame, keys: list[str], cell: s
         moves = best.select(*keys, "now", "to")
         if moves.isEmpty():
             break
-        state = state.join(moves, [*keys, "now"], "left").select(*keys, "origin", F.coalesce("to", "now").alias("now"), "n").checkpoint()
+        state = cut(state.join(moves, [*keys, "now"], "left").select(*keys, "origin", F.coalesce("to", "now").alias("now"), "n"))
     return state.select(*keys, F.col("origin").alias(cell), F.col("now").alias("target"))
 
 

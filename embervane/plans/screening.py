@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import confidence, grid
 from ..operators import context, flagging, scoring, slices
+from ..session import cut
 from ..sources import sinks
 
 
@@ -66,14 +67,16 @@ def screen(df: DataFrame, s: Settings, neighbours: DataFrame | None = None, mapp
         df = df.withColumn("undersized_slice", F.count("*").over(scoring.Window.partitionBy(*groups, "cell", label)) < s.min_slice_size)
     where = [*groups, "cell"]
     df = slices.reference_level(df, list(s.labels), where, s.min_slice_size)
-    df = context.margins(df, where, label)
+    df = cut(df)  # from here on, and below, each table is read by several branches
+    df = cut(context.margins(df, where, label))
     args = dict(k=s.knn_k, mode=s.centroid, trim=s.trim, percentiles=s.percentiles, min_scored=s.min_scored)
     keys = [*where, label]
     if len(s.labels) > 1:
         df = scoring.score_hierarchy(df, list(s.labels), where, s.id_col, s.min_slice_size, **args)
     else:
         df = scoring.score_slices(df.drop("slice_n"), keys, s.id_col, **args)
-    df = flagging.flag(df, keys, s.id_col, "S", s.mode, s.percentile_q, s.mad_k, s.threshold, s.fdr_alpha, s.at_least, s.at_most, "scored")
+    df = flagging.flag(cut(df), keys, s.id_col, "S", s.mode, s.percentile_q, s.mad_k, s.threshold, s.fdr_alpha, s.at_least, s.at_most, "scored")
+    df = cut(df)
     summary = flagging.summary(df, keys)
     df = df.withColumn("confidence", confidence.curve("mean_score", flagged="flagged" if s.gate_by_flag else None))
     df = df.withColumn("confidence", F.when(F.col("slice_n") < s.min_scored, F.greatest("confidence", F.lit(0.95))).otherwise(F.col("confidence")))
