@@ -131,8 +131,9 @@ def _describe(k: int, percent: int, order: Order):
                 nodes.append(textkernel.fold(s))
                 ranked = order.sort(s)
                 prefixes.append(ranked[: n - needed(n, percent) + 1] if n else ranked)
-                _, first = np.unique(ranked >> np.uint64(61), return_index=True)
-                keys.append(ranked[first])
+                # By hash alone: the rarest shingles of a near copy are those of its own edits.
+                _, first = np.unique(s >> np.uint64(61), return_index=True)
+                keys.append(s[first])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), _signed(np.array(nodes, np.uint64)), _lists(prefixes), _lists(keys)],
                 ["doc_id", "key", "n", "node", "prefix", "keys"],
