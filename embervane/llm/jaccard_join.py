@@ -323,7 +323,11 @@ def _region_links(edges: DataFrame, rest: DataFrame, texts: DataFrame, label: Da
     ring = probe.join(index, "s").where(useful & fits).select(F.col("y").alias("a"), F.col("p").alias("b"), "cy", "reach").distinct()
     ring = _verified(ring, texts, k, wide).withColumn("dy", 1 - F.col("inter") / F.col("either"))
     ring = staged(ring.where(F.col("dy") <= F.col("reach") + e + 1e-9).select(F.col("a").alias("y"), F.col("b").alias("p"), "cy", "dy"), "ring")
-    pairs = member.join(ring, "p").where((F.col("cx") != F.col("cy")) & (F.col("dy") <= F.col("d") + e + 1e-9))
+    # Within a region too, only what shares one of its rarest shingles can link.
+    own = rest.select("node", F.explode("prefix").alias("s"))
+    inside = member.join(own.withColumnRenamed("node", "x"), "x").select("p", "s", "x", "cx", "d")
+    around = ring.join(own.withColumnRenamed("node", "y"), "y").select("p", "s", "y", "cy", "dy")
+    pairs = inside.join(around, ["p", "s"]).where((F.col("cx") != F.col("cy")) & (F.col("dy") <= F.col("d") + e + 1e-9))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return staged(_verified(pairs, texts, k, percent).select("a", "b"), "late")
 
