@@ -5,14 +5,16 @@ d <= e, e = 1 - threshold.  The join works on classes (documents with equal
 shingle sets are one class from the start, so copies cost nothing more).
 
 Pivots.  Each class has ``KEYS`` keys, the least of its shingles in each of so
-many hash ranges; a class is a pivot if it is the least class of more than half
-of its keys' groups.  So a class without kin is a pivot and of a group of kin
-only few are.  Every class is compared with every pivot within ``e`` (below); a
+many hash ranges; a class is a pivot if it is the least class of more than
+``PIVOT_SHARE`` of its keys' groups.  So a class without kin is a pivot, and of a
+group of kin the least one is and only those whose own edits changed nearly all
+of their keys.  Every class is compared with every pivot within ``e`` (below); a
 class that is linked with a pivot belongs to the Voronoi region of its nearest
-one.  Classes that are neither are partitioned again by new pivots among
-themselves, with a weaker rule (least of any key's group), and what then remains
-become pivots all; so recursion ends at its third level, and every class is a
-pivot or within ``e`` of the pivot whose region it is in.
+one.  Classes that are neither, and can link with such a class at all by the
+prefixes below, are partitioned again by new pivots among themselves, by the same
+rule and then by weaker ones (``LATER_SHARES``), the least being now the most
+central (it shares most of its rarest shingles); what then remains become pivots all; so recursion ends, and every class that can have a link is a pivot or
+within ``e`` of the pivot whose region it is in.
 
 Windows.  Let x lie in the region of p, and let y, no pivot either, link with x.
 By the triangle inequality d(y, p) <= d(x, p) + e <= 2e.  So y is replicated into
@@ -21,8 +23,10 @@ members with what its window has brought in.  Members that the links with pivots
 have already put into one component needn't be compared: they can't change it.
 This is what keeps a group of a third of all documents linear.
 
-Distances.  Pairs within a radius share one of their rarest shingles (with
-overlap o needed of n, one of the first n - o + 1 in any order common to all).
+Distances.  Pairs within a radius share some of their rarest shingles: with
+overlap o needed of n, at least m of the first n - o + m in any order common to
+all.  m grows with the set (``least_shared``), so that neither a chance shingle nor a
+short passage in common makes a pair.
 The order is by a level, the magnitude of a shingle's count over all batches in
 hash buckets (``BUCKETS`` of them: its size doesn't depend on the corpus), then by
 hash; so a passage which many documents share is at the end of the order.  Every
@@ -49,6 +53,9 @@ from . import textkernel
 from .common import cut, read, semi_reduced, small, staged, unstage
 
 KEYS = 8
+PIVOT_SHARE = 0.75
+#: Of the deeper levels; below 0 is everything that is left.
+LATER_SHARES = (0.75, 0.5, -1.0)
 BUCKETS = 1 << 20
 _SHIFT = np.uint64(44)  # a bucket is a hash's first 20 bits
 #: A bucket's count from which it has a level above the lowest.
@@ -60,6 +67,15 @@ def needed(n: np.ndarray | int, percent: int):
     return (n * percent + 99) // 100
 
 
+def least_shared(n: np.ndarray | int):
+    """How many of the rarest shingles a set of n must share with a partner (at most what it must share at all)."""
+    return 1 + n // 32
+
+
+def prefix_length(n: int, percent: int) -> int:
+    return min(n, n - needed(n, percent) + least_shared(n))
+
+
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64), pa.int64())
 
@@ -130,7 +146,7 @@ def _describe(k: int, percent: int, order: Order):
                 sizes.append(n)
                 nodes.append(textkernel.fold(s))
                 ranked = order.sort(s)
-                prefixes.append(ranked[: n - needed(n, percent) + 1] if n else ranked)
+                prefixes.append(ranked[: prefix_length(n, percent)] if n else ranked)
                 # By hash alone: the rarest shingles of a near copy are those of its own edits.
                 _, first = np.unique(s >> np.uint64(61), return_index=True)
                 keys.append(s[first])
@@ -147,7 +163,7 @@ def _prefixes(k: int, order: Order, percent: int):
         """(node, text) -> (node, n, prefix) for pairs at least so similar."""
         for batch in small(batches, 1):
             ranked = [order.sort(s) for s in _sets(batch.column(1), k)]
-            cut_at = [len(s) - needed(len(s), percent) + 1 for s in ranked]
+            cut_at = [prefix_length(len(s), percent) for s in ranked]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in ranked], pa.int64()), _lists([s[:c] for s, c in zip(ranked, cut_at)])], ["node", "n", "prefix"]
             )
@@ -172,21 +188,42 @@ def _overlaps(k: int, columns: list[str]):
     return run
 
 
-def _pivots(nodes: DataFrame, share: float) -> DataFrame:
-    """(node) of those that are the least of more than ``share`` of their keys' groups."""
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("node").alias("least"))
-    own = keyed.join(least, "key").groupBy("node").agg(F.avg((F.col("least") == F.col("node")).cast("int")).alias("own"))
-    return own.where(F.col("own") > share).select("node")
+def _pivots(nodes: DataFrame, share: float, rank: tuple[str, ...] = ()) -> DataFrame:
+    """(node) of those that are the least, by ``rank`` and then node, of more than ``share`` of their keys' groups."""
+    keyed = nodes.select("node", *rank, F.explode("keys").alias("key"))
+    least = keyed.groupBy("key").agg(F.min(F.struct(*rank, "node"))["node"].alias("least"))
+    won = keyed.join(least, "key").groupBy("node").agg(F.avg((F.col("least") == F.col("node")).cast("int")).alias("won"))
+    return won.where(F.col("won") > share).select("node")
+
+
+def _shared(n, m, percent: int):
+    """The least number of prefix shingles that sets of n and m share if they are so similar."""
+    overlap = F.floor((F.greatest(n, m) * percent + 99) / 100)
+    return F.least(1 + F.floor(F.least(n, m) / 32), overlap)
 
 
 def _candidates(items: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with a < b, at least one of them a pivot: what shares an item of ``prefix`` and is of fitting size."""
-    one = items.select("node", "n", "pivot", F.explode("prefix").alias("s"))
-    a = one.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pivot").alias("pa"))
-    b = one.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pivot").alias("pb"))
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("pa") | F.col("pb")) & (F.col("a") < F.col("b"))
-    return a.join(b, "s").where(fits).select("a", "b", "pa", "pb").distinct()
+    """(a, b) with a < b, at least one of them a pivot: what shares enough of ``prefix`` and is of fitting size.
+
+    ``own``, if there, counts shingles that no other of ``items`` has.
+    """
+    own = F.col("own") if "own" in items.columns else F.lit(0)
+    one = items.select("node", "n", "pivot", own.alias("own"), F.explode("prefix").alias("s"))
+    a = one.select("s", *[F.col(c).alias(d) for c, d in (("node", "a"), ("n", "na"), ("pivot", "pa"), ("own", "oa"))])
+    b = one.select("s", *[F.col(c).alias(d) for c, d in (("node", "b"), ("n", "nb"), ("pivot", "pb"), ("own", "ob"))])
+    most = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))  # what no other set holds isn't in the intersection
+    fits = (most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent) & (F.col("pa") | F.col("pb")) & (F.col("a") < F.col("b"))
+    both = a.join(b, "s").where(fits).groupBy("a", "b", "pa", "pb", "na", "nb").count()
+    return both.where(F.col("count") >= _shared("na", "nb", percent)).select("a", "b", "pa", "pb")
+
+
+def _linkable(items: DataFrame, percent: int) -> DataFrame:
+    """(node, own) of what shares enough prefix shingles with others of ``items`` that it may link with one; own: how many it doesn't share."""
+    one = items.select("node", "n", F.size("prefix").alias("size"), F.explode("prefix").alias("s"))
+    several = one.groupBy("s").count().where("count > 1").select("s")
+    shared = one.join(several, "s").groupBy("node", "n", "size").count()
+    least = F.floor((F.col("n") * percent + 99) / 100)  # of the overlap and of the partner's size
+    return shared.where(F.col("count") >= F.least(1 + F.floor(least / 32), least)).select("node", (F.col("size") - F.col("count")).alias("own"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -245,7 +282,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
     repeated = not told.groupBy("doc_id", "key").count().where("count > 1").limit(1).isEmpty()
     one = told.select("doc_id", "key", "node", "keys")
     one = (one.dropDuplicates(["doc_id", "key"]) if repeated else one).join(classes, ["doc_id", "key", "node"]).select("node", "keys")
-    pivot = _pivots(one, 0.5).withColumn("pivot", F.lit(True))
+    pivot = _pivots(one, PIVOT_SHARE).withColumn("pivot", F.lit(True))
     classes = classes.join(pivot, "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
     one = told.select("doc_id", "key", "node", "prefix", "keys")
     nodes = (one.dropDuplicates(["doc_id", "key"]) if repeated else one).join(classes, ["doc_id", "key", "node"])
@@ -255,6 +292,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
 
     pairs = staged(_candidates(nodes, percent), "pairs")
     rest = nodes.where("NOT pivot")
+    rest = staged(rest.join(_linkable(rest, percent), "node"), "rest")
     wanted = rest.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = nodes.select("node", "doc_id", "key").join(wanted, "node", "left_semi")
     texts = semi_reduced(rows, texts, ["doc_id", "key"]).join(texts, ["doc_id", "key"]).select("node", "text")
@@ -263,11 +301,11 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
 
     # Deeper levels of the recursion: new pivots among what is linked with none.
     found, left = [links], rest.join(_ends(links), "node", "left_anti")
-    for share in (0.0, -1.0):
-        left = staged(left.select("node", "n", "prefix", "keys"), "left")
+    for share in LATER_SHARES:
+        left = staged(left.select("node", "own", "n", "prefix", "keys"), "left")
         if left.isEmpty():
             break
-        new = staged(_pivots(left, share) if share >= 0 else left.select("node"), "pivots")
+        new = staged(_pivots(left, share, ("own",)) if share >= 0 else left.select("node"), "pivots")
         level = rest.drop("pivot").join(new.withColumn("pivot", F.lit(True)), "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
         more = staged(_verified(_candidates(level, percent), texts, k, percent), "links")
         found.append(more)
@@ -320,14 +358,16 @@ def _region_links(edges: DataFrame, rest: DataFrame, texts: DataFrame, label: Da
     # A region all of whose members are in y's component has nothing to gain from y.
     useful = (F.col("c_min") != F.col("cy")) | (F.col("c_max") != F.col("cy"))
     fits = F.least("ny", "np") * 100 >= F.greatest("ny", "np") * wide
-    ring = probe.join(index, "s").where(useful & fits).select(F.col("y").alias("a"), F.col("p").alias("b"), "cy", "reach").distinct()
+    ring = probe.join(index, "s").where(useful & fits).groupBy("y", "p", "cy", "reach", "ny", "np").count()
+    ring = ring.where(F.col("count") >= _shared("ny", "np", wide)).select(F.col("y").alias("a"), F.col("p").alias("b"), "cy", "reach")
     ring = _verified(ring, texts, k, wide).withColumn("dy", 1 - F.col("inter") / F.col("either"))
     ring = staged(ring.where(F.col("dy") <= F.col("reach") + e + 1e-9).select(F.col("a").alias("y"), F.col("b").alias("p"), "cy", "dy"), "ring")
     # Within a region too, only what shares one of its rarest shingles can link.
-    own = rest.select("node", F.explode("prefix").alias("s"))
-    inside = member.join(own.withColumnRenamed("node", "x"), "x").select("p", "s", "x", "cx", "d")
-    around = ring.join(own.withColumnRenamed("node", "y"), "y").select("p", "s", "y", "cy", "dy")
+    own = rest.select("node", "n", F.explode("prefix").alias("s"))
+    inside = member.join(own.select(F.col("node").alias("x"), F.col("n").alias("nx"), "s"), "x").select("p", "s", "x", "cx", "d", "nx")
+    around = ring.join(own.select(F.col("node").alias("y"), F.col("n").alias("ny"), "s"), "y").select("p", "s", "y", "cy", "dy", "ny")
     pairs = inside.join(around, ["p", "s"]).where((F.col("cx") != F.col("cy")) & (F.col("dy") <= F.col("d") + e + 1e-9))
+    pairs = pairs.groupBy("p", "x", "y", "nx", "ny").count().where(F.col("count") >= _shared("nx", "ny", percent))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return staged(_verified(pairs, texts, k, percent).select("a", "b"), "late")
 
