@@ -203,27 +203,35 @@ def _shared(n, m, percent: int):
 
 
 def _candidates(items: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with a < b, at least one of them a pivot: what shares enough of ``prefix`` and is of fitting size.
+    """(a, b) with a < b, at least one of them a pivot: what shares enough prefix shingles and is of fitting size.
 
-    ``own``, if there, counts shingles that no other of ``items`` has.
+    ``shared``, if there, holds those of the prefix that another of ``items`` has in its own, each with its place.
+    Before a shingle that both prefixes hold, all that the sets have in common is in both prefixes, so in ``shared``.
     """
-    own = F.col("own") if "own" in items.columns else F.lit(0)
-    one = items.select("node", "n", "pivot", own.alias("own"), F.explode("prefix").alias("s"))
-    a = one.select("s", *[F.col(c).alias(d) for c, d in (("node", "a"), ("n", "na"), ("pivot", "pa"), ("own", "oa"))])
-    b = one.select("s", *[F.col(c).alias(d) for c, d in (("node", "b"), ("n", "nb"), ("pivot", "pb"), ("own", "ob"))])
-    most = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))  # what no other set holds isn't in the intersection
+    if "shared" in items.columns:
+        one = items.select("node", "n", "pivot", F.posexplode("shared").alias("before", "x"))
+        one = one.select("node", "n", "pivot", "before", (F.col("n") - F.col("x.pos")).alias("after"), F.col("x.s").alias("s"))
+    else:
+        one = items.select("node", "n", "pivot", F.lit(0).alias("before"), F.col("n").alias("after"), F.explode("prefix").alias("s"))
+    a = one.select("s", *[F.col(c).alias(d) for c, d in (("node", "a"), ("n", "na"), ("pivot", "pa"), ("before", "ba"), ("after", "ra"))])
+    b = one.select("s", *[F.col(c).alias(d) for c, d in (("node", "b"), ("n", "nb"), ("pivot", "pb"), ("before", "bb"), ("after", "rb"))])
+    most = F.least("ba", "bb") + F.least("ra", "rb")  # in common before the shingle, and from it on
     fits = (most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent) & (F.col("pa") | F.col("pb")) & (F.col("a") < F.col("b"))
     both = a.join(b, "s").where(fits).groupBy("a", "b", "pa", "pb", "na", "nb").count()
     return both.where(F.col("count") >= _shared("na", "nb", percent)).select("a", "b", "pa", "pb")
 
 
 def _linkable(items: DataFrame, percent: int) -> DataFrame:
-    """(node, own) of what shares enough prefix shingles with others of ``items`` that it may link with one; own: how many it doesn't share."""
-    one = items.select("node", "n", F.size("prefix").alias("size"), F.explode("prefix").alias("s"))
+    """(node, own, shared) of what shares enough prefix shingles with others of ``items`` that it may link with one.
+
+    ``shared`` are those shingles with their places in the prefix, ``own`` is how many it doesn't share; another set may hold such a one past its prefix.
+    """
+    one = items.select("node", "n", F.size("prefix").alias("size"), F.posexplode("prefix").alias("pos", "s"))
     several = one.groupBy("s").count().where("count > 1").select("s")
-    shared = one.join(several, "s").groupBy("node", "n", "size").count()
+    shared = one.join(several, "s").groupBy("node", "n", "size").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("shared"))
     least = F.floor((F.col("n") * percent + 99) / 100)  # of the overlap and of the partner's size
-    return shared.where(F.col("count") >= F.least(1 + F.floor(least / 32), least)).select("node", (F.col("size") - F.col("count")).alias("own"))
+    enough = F.size("shared") >= F.least(1 + F.floor(least / 32), least)
+    return shared.where(enough).select("node", (F.col("size") - F.size("shared")).alias("own"), "shared")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -302,7 +310,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
     # Deeper levels of the recursion: new pivots among what is linked with none.
     found, left = [links], rest.join(_ends(links), "node", "left_anti")
     for share in LATER_SHARES:
-        left = staged(left.select("node", "own", "n", "prefix", "keys"), "left")
+        left = staged(left.select("node", "own", "keys"), "left")
         if left.isEmpty():
             break
         new = staged(_pivots(left, share, ("own",)) if share >= 0 else left.select("node"), "pivots")

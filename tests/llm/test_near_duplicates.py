@@ -72,6 +72,23 @@ def test_a_group_that_pivots_do_not_reach_is_joined_by_regions(spark, docs_of, p
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == components(rows, 4, 85)
 
 
+def test_contained_sets_that_carry_a_shared_passage(spark, docs_of, prose):
+    """A text and extended forms of it: what one has in its prefix lies beyond the shorter common part of another's prefix."""
+    passage, rows = prose("passage", 48), []
+    for i in range(40):  # so that no member of the families below is a pivot at the first level
+        rows.append((len(rows), f"{prose(1000 + i, 20)} {passage} {prose(2000 + i, 20)}"))
+    for family in range(8):
+        base = f"{prose(3000 + family, 47)} {passage}"
+        rows.append((len(rows), base))
+        for i in range(5):
+            rows.append((len(rows), f"{base} {prose(4000 + 10 * family + i, 9)}"))
+    for i in range(40):  # single pairs
+        base = f"{prose(5000 + i, 47)} {passage}"
+        rows += [(len(rows), base), (len(rows) + 1, f"{base} {prose(6000 + i, 8 + i % 5)}")]
+    got = jaccard_join.near_duplicates(docs_of(rows), 4, 85).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == components(rows, 4, 85)
+
+
 def test_ids_that_repeat_or_are_null(spark, docs_of, prose):
     a, b = prose("a", 40), prose("b", 40)
     rows = [(5, a), (5, a), (5, b), (7, b), (None, a), (9, "x")]
