@@ -7,9 +7,10 @@ all gaps and matches before it.
 The method: every candidate value is hashed, and the hashes are aggregated by
 distinct repositories and distinct owners over the whole corpus (distinct pairs
 first, so that a value which a third of all rows copy is pre-aggregated where it
-is read).  A value that more than ``max_owners`` owners hold is a widely copied
-example (``shared``); any other is owner-specific and, if it has at least
-``min_distinct`` different characters, ``live``.  The method adds spans of kind
+is read).  A value that more than ``max_owners`` owners or more than ``max_repos``
+repositories hold is a widely copied example (``shared``), be it under one owner;
+any other is owner-specific and, if it has at least ``min_distinct`` different
+characters, ``live``.  Both numbers are returned for every span whose value is known.  The method adds spans of kind
 ``bare``: tokens outside base spans that repeat a live value.
 
 DataFrame expressions only.  Defined results: a null text is empty; repeated
@@ -35,6 +36,7 @@ BARE = r"(?<![A-Za-z0-9+/_-])()([A-Za-z+/_-]*+[0-9][A-Za-z0-9+/_-]*+)"
 MIN_ASSIGN, MIN_BARE = 6, 12
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+HELD = "array<struct<start:int,kind:int,end:int,owners:bigint,repos:bigint>>"
 
 
 def _spans(text, pattern: str, kind: int, group: int, min_value: int, maybe):
@@ -93,12 +95,14 @@ def scan(
     owner_col: str = "source",
     repo_col: str = "doc_id",
     max_owners: int = 3,
+    max_repos: int = 10,
     min_distinct: int = 6,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """id, keep..., base array of spans, extra array of spans, live array of spans (base or bare) for each row.
+    """id, keep..., base array of spans, extra array of spans, live array of spans (base or bare), held for each row.
 
-    A span is struct(start, kind index in KINDS, end, value); offsets are code points.
+    A span is struct(start, kind index in KINDS, end, value); offsets are code points.  ``held`` has, for each
+    base span and each bare copy of a base span's value, struct(start, kind, end, owners, repos).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -117,24 +121,30 @@ def scan(
 
     value = loud.select("_owner", "_repo", F.explode("_base").alias("s")).select("_owner", "_repo", F.xxhash64("s.value").alias("_h"), F.col("s.value").alias("_v"))
     pairs = value.groupBy("_h", "_owner", "_repo").agg(F.min("_v").alias("_v"))
-    owners = pairs.groupBy("_h", "_owner").agg(F.count("*").alias("_repos"), F.min("_v").alias("_v"))
-    owned = owners.groupBy("_h").agg(F.count("*").alias("_owners"), F.sum("_repos").alias("_repos"), F.min("_v").alias("_v"))
+    owners = pairs.groupBy("_h", "_owner").agg(F.min("_v").alias("_v"))
+    owners = owners.groupBy("_h").agg(F.count("*").alias("_owners"), F.min("_v").alias("_v"))
+    repos = pairs.select("_h", "_repo").distinct().groupBy("_h").agg(F.count("*").alias("_repos"))
     letters = F.size(F.array_distinct(F.split(F.col("_v"), "")))
-    live = owned.where((F.col("_owners") <= max_owners) & (letters >= min_distinct)).select("_h")
+    own = (F.col("_owners") <= max_owners) & (F.col("_repos") <= max_repos)
+    owned = owners.join(repos, "_h").select("_h", "_owners", "_repos", (own & (letters >= min_distinct)).alias("_live"))
 
     # Rows may repeat, so each loud row is known by its id and its spans.
     key = ["_id", "_base", "_bare", *[f"_k_{c}" for c in keep]]
     counted = loud.groupBy(*key).agg(F.count("*").alias("_copies"))
     spans = counted.select("*", F.explode(F.concat("_base", "_bare")).alias("_s")).withColumn("_h", F.xxhash64("_s.value"))
-    spans = spans.join(live.withColumn("_live", F.lit(True)), "_h", "left")
+    spans = spans.join(owned, "_h", "left")
+    held = F.struct("_s.start", "_s.kind", "_s.end", F.col("_owners").alias("owners"), F.col("_repos").alias("repos"))
     sorted_set = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("_s"))))
     judged = spans.groupBy(*key, "_copies").agg(
-        sorted_set(F.col("_live") & (F.col("_s.kind") == 3)).alias("extra"), sorted_set(F.col("_live")).alias("live")
+        sorted_set(F.col("_live") & (F.col("_s.kind") == 3)).alias("extra"),
+        sorted_set(F.col("_live")).alias("live"),
+        F.array_sort(F.collect_list(F.when(F.col("_owners").isNotNull(), held))).cast(HELD).alias("held"),
     )
     judged = judged.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     none = F.array().cast(SPAN)
     out = [F.col("_id").alias(id_col), *[F.col(f"_k_{c}").alias(c) for c in keep], F.col("_base").alias("base")]
-    return judged.select(*out, "extra", "live").unionByName(quiet.select(*out, none.alias("extra"), none.alias("live")))
+    quiet = quiet.select(*out, none.alias("extra"), none.alias("live"), F.array().cast(HELD).alias("held"))
+    return judged.select(*out, "extra", "live", "held").unionByName(quiet)
 
 
 def redact(text, spans, mask: str = "[REDACTED]"):

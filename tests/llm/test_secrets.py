@@ -38,6 +38,19 @@ def test_ownership_separates_examples_from_live_values(spark, docs_of):
     assert rows[11][1][bare.start : bare.end] == "zz91yy82xx73ww64" and secrets.KINDS[bare.kind] == "bare"
 
 
+def test_a_value_copied_widely_within_one_source_is_an_example(spark, docs_of):
+    shared, own = "token=ab12cd34ef56gh78", "password=zz91yy82xx73ww64"
+    rows = [(5 * i, f"text {i} {shared} end") for i in range(40)]  # all of src0
+    rows += [(1, f"one {own}"), (6, f"two {own}"), (11, "zz91yy82xx73ww64 bare"), (16, "ab12cd34ef56gh78 bare example")]
+    got = {r.doc_id: r for r in secrets.scan(docs_of(rows)).collect()}
+    assert all(not got[5 * i].live for i in range(40)) and not got[16].extra
+    assert len(got[1].live) == len(got[6].live) == len(got[11].extra) == 1
+    assert [(h.owners, h.repos) for h in got[0].held + got[16].held] == [(1, 40), (1, 40)]
+    assert [(h.owners, h.repos) for h in got[1].held + got[11].held] == [(1, 2), (1, 2)]
+    by_source = {r.doc_id: r for r in secrets.scan(docs_of(rows), owner_col="doc_id", repo_col="source", max_owners=100).collect()}
+    assert len(by_source[0].live) == 1 and (by_source[0].held[0].owners, by_source[0].held[0].repos) == (40, 1)
+
+
 def test_repeated_rows_and_redaction(spark, docs_of):
     rows = [(1, "a password=zz91yy82xx73ww64 b")] * 3 + [(2, "nothing")]
     found = secrets.scan(docs_of(rows), keep=("lang", "text"))
