@@ -74,10 +74,16 @@ def legend_mappings(legend: DataFrame, code: str, classes: list[str]) -> DataFra
     return flat.where(F.coalesce("code", F.lit("")) != "").groupBy("mapping", "code").agg(F.max_by("label", "_i").alias("label"))
 
 
+MAX_MAPPING_ROWS = 1_000_000
+
+
 def write_mappings(df: DataFrame, path: str) -> None:
-    """(mapping, code, label) as JSON with sorted keys; a class table is small by nature."""
+    """(mapping, code, label) as JSON with sorted keys; a class table is small by nature, and beyond ``MAX_MAPPING_ROWS`` nothing is written."""
     out: dict[str, dict[str, str]] = {}
-    for r in df.limit(1_000_001).collect():
+    rows = df.limit(MAX_MAPPING_ROWS + 1).collect()
+    if len(rows) > MAX_MAPPING_ROWS:
+        raise ValueError(f"{path}: more than {MAX_MAPPING_ROWS} rows of mappings")
+    for r in rows:
         out.setdefault(r["mapping"], {})[r["code"]] = r["label"]
     with open(path, "w") as f:
         json.dump(out, f, indent=1, sort_keys=True)

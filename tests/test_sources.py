@@ -59,6 +59,16 @@ def test_legend(spark, tmp_path):
     assert json.loads((tmp_path / "o.json").read_text()) == {"L1": {"10": "b"}, "L2": {"10": "c"}}
 
 
+def test_mappings_beyond_the_limit_are_refused(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("L1", str(i), "a") for i in range(4)], "mapping string, code string, label string")
+    monkeypatch.setattr(files, "MAX_MAPPING_ROWS", 3, raising=False)
+    with pytest.raises(ValueError):
+        files.write_mappings(df, str(tmp_path / "o.json"))
+    assert not (tmp_path / "o.json").exists()
+    files.write_mappings(df.limit(3), str(tmp_path / "o.json"))
+    assert len(json.loads((tmp_path / "o.json").read_text())["L1"]) == 3
+
+
 def test_discovery(spark, tmp_path):
     spark.range(2).write.parquet(str(tmp_path / "in/ref_id=a"))
     spark.range(1).coalesce(1).write.parquet(str(tmp_path / "flat"))
