@@ -36,15 +36,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = jaccard_join.near_duplicates(docs, k=5, percent=80)
-    # Rows of one id and one text are one document here; the join told them apart by both.
-    gone = told.where("doc_id <> component_id").select("doc_id", "key").distinct()
-    keyed = docs.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = keyed.join(gone, ["doc_id", "key"], "left_anti")
-    return kept.dropDuplicates(["doc_id", "key"]).select(*COLUMNS) if _repeats(told) else kept.select(*COLUMNS)
-
-
-def _repeats(told: DataFrame) -> bool:
-    return not told.where("doc_id IS NOT NULL").groupBy("doc_id", "key").count().where("count > 1").limit(1).isEmpty()
+    # Rows of one id and one text are one document here; the join told them apart by both.  Only such rows are shuffled to be one.
+    said = told.where("doc_id IS NOT NULL").groupBy("doc_id", "key").agg(F.count("*").alias("copies"), F.max(F.col("doc_id") != F.col("component_id")).alias("gone"))
+    keyed = docs.where("doc_id IS NOT NULL").withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = keyed.join(said.where("gone OR copies > 1"), ["doc_id", "key"], "left").where("NOT coalesce(gone, false)")
+    once, again = kept.where("copies IS NULL"), kept.where("copies IS NOT NULL").dropDuplicates(["doc_id", "key"])
+    return once.select(*COLUMNS).unionByName(again.select(*COLUMNS)).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

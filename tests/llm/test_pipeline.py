@@ -40,3 +40,11 @@ def test_repeated_rows_and_empty_documents(spark, docs_of, prose, tmp_path):
     spark.read.parquet(f"{d}/labels.parquet").limit(0).write.parquet(f"{e}/labels.parquet")
     spark.read.parquet(f"{d}/benchmark.parquet").limit(0).write.parquet(f"{e}/benchmark.parquet")
     assert corpus_pipeline.run(spark, e).count() == 0
+
+
+def test_rows_without_an_id_pass_the_near_duplicates(spark, docs_of, prose):
+    """Whether or not an id repeats elsewhere."""
+    a, b = prose(1, 50), prose(2, 50)
+    for rows in ([(None, a), (None, a), (1, b), (2, b), (3, a)], [(None, a), (None, a), (1, b), (1, b), (2, b), (3, a)]):
+        kept = corpus_pipeline.one_of_each_group(spark, docs_of(rows, clash=False), "").collect()
+        assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted([(-1, a), (-1, a), (1, b), (3, a)])
