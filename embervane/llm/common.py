@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import struct
 import tempfile
 import uuid
@@ -11,8 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch of rows on its way to a Python worker, where the session says nothing of it.
+BATCH_BYTES = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes: the default bounds rows, and texts may be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a local run gets a temporary folder; a cluster, whose executors could not see one, an error.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -20,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="embervane-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -73,22 +90,37 @@ def _bloom_mask(h):
     return bit(0).bitwiseOR(bit(8)).bitwiseOR(bit(16)).bitwiseOR(bit(24))
 
 
-def semi_reduced(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """``big`` without most rows that have no partner in ``keys``: what a join needn't shuffle.
+def bloom(keys: DataFrame, on: list[str]):
+    """A test for columns of xxhash64: true for the hash of any row of ``keys`` in the columns ``on`` and, rarely, for others.
 
-    A blocked Bloom filter of at most MAX_BLOOM_BLOCKS 64-bit blocks (2 MB); with more keys than it
-    holds it lets more rows pass and never drops a partner.
+    A blocked filter of at most MAX_BLOOM_BLOCKS 64-bit blocks (2 MB); with more keys than it holds, more others pass.
     """
     n = keys.count()
     blocks = min(MAX_BLOOM_BLOCKS, max(16, 1 << (n // 4).bit_length()))
-    h = F.xxhash64(*on)
     at = lambda x: F.pmod(F.shiftright(x, 32), F.lit(blocks)).cast("int")
-    held = keys.select(h.alias("h")).groupBy(at(F.col("h")).alias("b")).agg(F.bit_or(_bloom_mask(F.col("h"))).alias("m"))
+    held = keys.select(F.xxhash64(*on).alias("h")).groupBy(at(F.col("h")).alias("b")).agg(F.bit_or(_bloom_mask(F.col("h"))).alias("m"))
     rows = {r["b"]: r["m"] for r in held.collect()}  # at most one for each block
-    packed = struct.pack(f">{blocks}q", *[rows.get(i, 0) for i in range(blocks)])
-    table = F.lit(packed)
-    word = F.conv(F.hex(F.substring(table, at(h) * 8 + 1, F.lit(8))), 16, -10).cast("long")
-    return big.where(word.bitwiseAND(_bloom_mask(h)) == _bloom_mask(h))
+    table = F.lit(struct.pack(f">{blocks}q", *[rows.get(i, 0) for i in range(blocks)]))
+
+    def test(h):
+        word = F.conv(F.hex(F.substring(table, at(h) * 8 + 1, F.lit(8))), 16, -10).cast("long")
+        return word.bitwiseAND(_bloom_mask(h)) == _bloom_mask(h)
+
+    return test
+
+
+def semi_reduced(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``big`` without most rows that have no partner in ``keys``: what a join needn't shuffle.
+
+    By a Bloom filter of bounded size: with more keys than it holds, more rows pass; a partner is never dropped.
+    """
+    return big.where(bloom(keys, on)(F.xxhash64(*on)))
+
+
+def semi_split(big: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``big`` in two: rows that may have a partner in ``keys``, and rows that surely have none."""
+    maybe = bloom(keys, on)(F.xxhash64(*on))
+    return big.where(maybe), big.where(~maybe)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
