@@ -15,6 +15,9 @@ The trees are fitted here, on generated pages whose element labels are known fro
 their making (``TRAIN_PAGES`` of many layouts, from a fixed seed); the model is
 some hundred kilobytes and goes to the executors in the task.
 
+Reading is linear in the length of a page, whatever it holds: a quote that is never closed is an ordinary
+character, and what begins a tag without an end is text.  Features are made for at most ``ELEMENTS`` elements at once.
+
 Defined results: a null, empty or text-free html gives an empty text; scripts,
 styles, comments and markup never count; repeated rows stay repeated; other
 columns are dropped; an empty table gives an empty table.
@@ -32,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, small
+from .common import bound_batches, read, small
 
 TRAIN_PAGES, SEED = 700, 7
 TREES, DEPTH, RATE, HIST = 60, 4, 0.2, 32
@@ -50,8 +53,9 @@ ENDS = {t: frozenset(["p"]) for t in BLOCK - {"body", "html", "head"}} | {
 }
 SCOPE = frozenset("table ul ol dl div section article main body td th aside nav header footer form".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[\"'>]")
+_ATTR = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -70,6 +74,71 @@ GROUPS = (
 )
 
 
+class _Tags:
+    """The tags of a source, each found once: every character is looked at a bounded number of times.
+
+    A quoted value may hold ``>``; a quote that is never closed is an ordinary character.  If a tag has no end that
+    way, quotes count for nothing from there on.  What begins a tag behind the last ``>`` is text.
+    """
+
+    __slots__ = ("source", "last", "shut", "quotes")
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.shut = {q: source.rfind(q) for q in "\"'"}  # behind these no value can be closed
+        self.quotes = True
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` has its ``>``."""
+        source, i = self.source, at
+        while self.quotes:
+            m = _STOP.search(source, i)
+            if m is None:
+                self.quotes = False
+                break
+            q, i = m.group(), m.end()
+            if q == ">":
+                return i - 1
+            if i - 1 < self.shut[q]:
+                i = source.index(q, i) + 1
+        return source.index(">", at)
+
+    def __iter__(self):
+        """(start, end, closing, name, attributes); name is None for comments and declarations.  ``send`` gives a place to go on from."""
+        source, at = self.source, 0
+        while True:
+            at = source.find("<", at)
+            if at < 0:
+                return
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 4)
+                end = len(source) if end < 0 else end + 3
+                found = (at, end, "", None, "")
+            elif at > self.last:
+                at += 1  # of what follows only a comment can count
+                at = source.find("<!--", at)
+                if at < 0:
+                    return
+                continue
+            elif source.startswith(("<!", "<?"), at):
+                end = source.index(">", at) + 1
+                found = (at, end, "", None, "")
+            else:
+                m = _NAME.match(source, at)
+                if m is None:
+                    at += 1
+                    continue
+                if m.end() > self.last:
+                    at += 1
+                    continue
+                stop = self._end(m.end())
+                end = stop + 1
+                found = (at, end, m.group(1), m.group(2).lower(), source[m.end() : stop])
+            to = yield found
+            at = end if to is None else to
+
+
 class Page:
     """Elements in page order: ``parent``, ``tag``, ``attrs``, and ``items`` (own text or child index, in order)."""
 
@@ -77,128 +146,167 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.attrs, self.items = [-1], ["#root"], [""], [[]]
-        stack, at, n = [0], 0, len(source)
         parent, tag_of, attrs, items = self.parent, self.tag, self.attrs, self.items
-        while at < n:
-            m = _TOKEN.search(source, at)
-            if m is None:
-                items[stack[-1]].append(source[at:])
+        stack, n = [0], len(source)
+        open_at: dict[str, list[int]] = {}  # by tag, the places in the stack of its open elements
+        scopes = [0]  # the places of open elements of SCOPE
+
+        def shut(i: int) -> None:
+            while len(stack) > i:
+                t = tag_of[stack.pop()]
+                open_at[t].pop()
+                if t in SCOPE:
+                    scopes.pop()
+
+        at, ended = 0, {}  # ended: raw tags without a closing tag behind a place
+        tags = iter(_Tags(source))
+        found = next(tags, None)
+        while found is not None:
+            start, end, closing, name, said = found
+            if start > at:
+                items[stack[-1]].append(source[at:start])
+            at, to = end, None
+            if name is not None and closing:
+                if open_at.get(name):
+                    shut(open_at[name][-1])
+            elif name is not None:
+                ends = ENDS.get(name)
+                if ends:
+                    i = max((open_at[t][-1] for t in ends if open_at.get(t)), default=0)
+                    if i and i >= scopes[-1]:
+                        shut(i)
+                k = len(parent)
+                parent.append(stack[-1])
+                tag_of.append(name)
+                attrs.append(said)
+                items[stack[-1]].append(k)
+                items.append([])
+                if name in RAW:
+                    close = None if name in ended else _close_of(name).search(source, at)
+                    if close is None:
+                        ended[name] = True
+                    at = to = close.end() if close else n
+                elif name not in VOID and not said.endswith("/"):
+                    open_at.setdefault(name, []).append(len(stack))
+                    if name in SCOPE:
+                        scopes.append(len(stack))
+                    stack.append(k)
+            try:
+                found = tags.send(to)
+            except StopIteration:
                 break
-            if m.start() > at:
-                items[stack[-1]].append(source[at : m.start()])
-            at = m.end()
-            name = m.group(2)
-            if name is None:
-                continue
-            name = name.lower()
-            if m.group(1):
-                for i in range(len(stack) - 1, 0, -1):
-                    if tag_of[stack[i]] == name:
-                        del stack[i:]
-                        break
-                continue
-            ends = ENDS.get(name)
-            if ends:
-                for i in range(len(stack) - 1, 0, -1):
-                    t = tag_of[stack[i]]
-                    if t in ends:
-                        del stack[i:]
-                        break
-                    if t in SCOPE:
-                        break
-            k = len(parent)
-            parent.append(stack[-1])
-            tag_of.append(name)
-            attrs.append(m.group(3))
-            items[stack[-1]].append(k)
-            items.append([])
-            if name in RAW:
-                close = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                at = close.end() if close else n
-            elif name not in VOID and not m.group(3).endswith("/"):
-                stack.append(k)
-
-
-def _attr_groups(attrs: str) -> list[float]:
-    if "=" not in attrs:
-        return [0.0] * len(GROUPS)
+        if at < n:
+            items[stack[-1]].append(source[at:])
+
+
+@functools.cache
+def _close_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*+>", re.I)
+
+
+_LONG_NUMBER = re.compile(r"&#0*+([0-9]++)|&#[xX]0*+([0-9a-fA-F]++)")
+
+
+def _short_number(m: re.Match) -> str:
+    digits = m.group(1) or m.group(2)
+    return m.group() if len(m.group()) < 10 else ("&#x" if m.group(2) else "&#") + (digits if len(digits) < 8 else "110000" if m.group(2) else "1114112")
+
+
+def unescape(text: str) -> str:
+    """Character references decoded, those of numbers with very many digits too (beyond the last code point: the replacement character)."""
+    return _html.unescape(_LONG_NUMBER.sub(_short_number, text)) if "&" in text else text
+
+
+@functools.lru_cache(maxsize=4096)
+def _attr_groups(attrs: str) -> int:
+    """The groups that the attribute tokens name, one bit each."""
     words: set[str] = set()
     for name, a, b, c in _ATTR.findall(attrs):
         if name.lower() in ("class", "id", "role", "itemprop"):
             words.update(w.lower() for w in _WORDS.findall(a or b or c))
-    return [float(not words.isdisjoint(g)) for g in GROUPS]
+    return sum(1 << i for i, g in enumerate(GROUPS) if not words.isdisjoint(g))
 
 
+_GROUP_BITS = (np.arange(1 << len(GROUPS))[:, None] >> np.arange(len(GROUPS)) & 1).astype(np.float32)
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 N_OWN = len(GROUPS) + 12
 N_FEATURES = len(TAGS) + 2 * len(GROUPS) + N_OWN + 6
 
 
-def features(page: Page) -> np.ndarray:
-    """One row of features for each element."""
-    n = len(page.parent)
-    parent = page.parent
-    own = [0] * n
-    words = [0] * n
-    stops = [0] * n
-    for i in range(n):
-        for x in page.items[i]:
-            if x.__class__ is str:
-                s = x.strip()
-                if s:
-                    own[i] += len(s)
-                    words[i] += s.count(" ") + 1
-                    stops[i] += s.count(".") + s.count(",")
-    text, word, stop, tags, link = own[:], words[:], stops[:], [1] * n, [0] * n
-    paragraphs = [0] * n
-    for i in range(n - 1, 0, -1):
-        p = parent[i]
-        text[p] += text[i]
-        word[p] += word[i]
-        stop[p] += stop[i]
-        tags[p] += tags[i]
-        link[p] += text[i] if page.tag[i] == "a" else link[i]
-        paragraphs[p] += paragraphs[i] + (page.tag[i] == "p")
-    depth, group, above = [0] * n, [None] * n, [None] * n
-    group[0] = [0.0] * len(GROUPS)
-    above[0] = [0.0] * len(GROUPS)
-    out = np.zeros((n, N_FEATURES), np.float32)
-    total = text[0] + 1
-    t0, t1, t2 = len(TAGS), len(TAGS) + len(GROUPS), len(TAGS) + 2 * len(GROUPS)
-    counts: list[dict[str, int] | None] = [None] * n
-    order, same = [0] * n, [0] * n
-    for i in range(n):
-        c: dict[str, int] = {}
-        k = 0
-        for x in page.items[i]:
-            if x.__class__ is int:
-                c[page.tag[x]] = c.get(page.tag[x], 0) + 1
-                order[x] = k
-                k += 1
-        counts[i] = c
-        same[i] = k
-    for i in range(n):
-        p = parent[i]
-        if i:
+class Measures:
+    """What the features of a page's elements are made of, one number for each element and measure."""
+
+    def __init__(self, page: Page):
+        n, parent, tag = len(page.parent), page.parent, page.tag
+        own, words, stops, children, order = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+        alike = [0] * n  # how many of its siblings, itself included, have its tag
+        for i in range(n):
+            count: dict[str, int] = {}
+            k = 0
+            for x in page.items[i]:
+                if x.__class__ is int:
+                    count[tag[x]] = count.get(tag[x], 0) + 1
+                    order[x] = k
+                    k += 1
+                else:
+                    s = x.strip()
+                    if s:
+                        own[i] += len(s)
+                        words[i] += s.count(" ") + 1
+                        stops[i] += s.count(".") + s.count(",")
+            children[i] = k
+            for x in page.items[i]:
+                if x.__class__ is int:
+                    alike[x] = count[tag[x]]
+        text, word, stop, tags, link, paragraphs = own[:], words[:], stops[:], [1] * n, [0] * n, [0] * n
+        for i in range(n - 1, 0, -1):
+            p = parent[i]
+            text[p] += text[i]
+            word[p] += word[i]
+            stop[p] += stop[i]
+            tags[p] += tags[i]
+            link[p] += text[i] if tag[i] == "a" else link[i]
+            paragraphs[p] += paragraphs[i] + (tag[i] == "p")
+        depth, group, above = [0] * n, [0] * n, [0] * n
+        for i in range(1, n):
+            p = parent[i]
             depth[i] = depth[p] + 1
-            group[i] = _attr_groups(page.attrs[i])
-            above[i] = [max(a, b) for a, b in zip(group[p], above[p])]
-        row = out[i]
-        k = _TAG_AT.get(page.tag[i])
-        if k is not None:
-            row[k] = 1
-        row[t0:t1] = group[i]
-        row[t1:t2] = above[i]
-        siblings = same[p] if i else 1
-        row[t2 : t2 + 12] = (
-            depth[i], np.log1p(text[i]), np.log1p(own[i]), link[i] / (text[i] + 1), text[i] / tags[i], stop[i] / (word[i] + 1), word[i],
-            text[i] / total, same[i], siblings, order[i] / siblings, (counts[p].get(page.tag[i], 0) / siblings) if i else 1,
+            said = page.attrs[i]
+            group[i] = _attr_groups(said) if "=" in said and len(said) < 1000 else _attr_groups.__wrapped__(said) if "=" in said else 0
+            above[i] = group[p] | above[p]
+        array = lambda x: np.array(x, np.int64)
+        self.n, self.parent, self.kind = n, array(parent), array([_TAG_AT.get(t, -1) for t in tag])
+        self.own, self.children, self.order, self.alike = array(own), array(children), array(order), array(alike)
+        self.text, self.word, self.stop, self.tags, self.link, self.paragraphs = map(array, (text, word, stop, tags, link, paragraphs))
+        self.depth, self.group, self.above = array(depth), array(group), array(above)
+
+    def features(self, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """One row of features for each element from ``lo`` to ``hi``."""
+        hi = self.n if hi is None else hi
+        at = np.arange(lo, hi)
+        up = np.maximum(self.parent[lo:hi], 0)
+        out = np.zeros((hi - lo, N_FEATURES), np.float32)
+        kind, inner = self.kind[lo:hi], at > 0
+        known = np.flatnonzero(kind >= 0)
+        out[known, kind[known]] = 1
+        t0, t1, t2 = len(TAGS), len(TAGS) + len(GROUPS), len(TAGS) + 2 * len(GROUPS)
+        out[:, t0:t1] = _GROUP_BITS[self.group[lo:hi]]
+        out[:, t1:t2] = _GROUP_BITS[self.above[lo:hi]]
+        text, tags, word = self.text[lo:hi], self.tags[lo:hi], self.word[lo:hi]
+        siblings = np.where(inner, self.children[up], 1)
+        own = (
+            self.depth[lo:hi], np.log1p(text), np.log1p(self.own[lo:hi]), self.link[lo:hi] / (text + 1), text / tags, self.stop[lo:hi] / (word + 1), word,
+            text / (self.text[0] + 1), self.children[lo:hi], siblings, self.order[lo:hi] / siblings, np.where(inner, self.alike[lo:hi] / siblings, 1),
+            self.paragraphs[lo:hi],
         )
-        row[t2 + 12] = paragraphs[i]
-        if i:
-            k = _TAG_AT.get(page.tag[p], -1)
-            row[t2 + 13 : t2 + 18] = (k, link[p] / (text[p] + 1), text[p] / tags[p], paragraphs[p], text[i] / (text[p] + 1))
-    return out
+        parents = (self.kind[up], self.link[up] / (self.text[up] + 1), self.text[up] / self.tags[up], self.paragraphs[up], text / (self.text[up] + 1))
+        for j, column in enumerate((*own, *[np.where(inner, column, 0) for column in parents])):
+            out[:, t2 + j] = column
+        return out
+
+
+def features(page: Page) -> np.ndarray:
+    return Measures(page).features()
 
 
 # ---- boosted trees -----------------------------------------------------------
@@ -294,7 +402,7 @@ def blocks(page: Page, state: list[int]) -> list[str]:
 
     def flush():
         if piece:
-            s = _SPACE.sub(" ", _html.unescape("".join(piece))).strip()
+            s = _SPACE.sub(" ", unescape("".join(piece))).strip()
             if s:
                 out.append(s)
             piece.clear()
@@ -454,17 +562,38 @@ def model() -> Forest:
     return Forest.fit(np.concatenate(x), np.concatenate(y))
 
 
-def extract_texts(forest: Forest, sources: list[str]) -> list[str]:
+#: Elements whose features are held at once.
+ELEMENTS = 32_768
+
+
+def extract_texts(forest: Forest, sources: Iterable[str]) -> list[str]:
+    """The main text of each page; a page with very many elements has its features made in parts."""
     out: list[str] = []
-    for lo in range(0, len(sources), 64):
-        pages = [Page(s) for s in sources[lo : lo + 64]]
-        rows = [features(p) for p in pages]
-        logit = forest.logit(np.concatenate(rows))
+    held: list[tuple[Page, Measures]] = []
+
+    def judge():
+        logit = forest.logit(np.concatenate([m.features() for _, m in held]))
         at = 0
-        for page, r in zip(pages, rows):
-            state = decode(page, logit[at : at + len(r)])
-            at += len(r)
-            out.append("\n".join(blocks(page, state)))
+        for page, m in held:
+            out.append("\n".join(blocks(page, decode(page, logit[at : at + m.n]))))
+            at += m.n
+        held.clear()
+
+    size = 0
+    for source in sources:
+        page = Page(source)
+        m = Measures(page)
+        if held and size + m.n > ELEMENTS:
+            judge()
+            size = 0
+        if m.n > ELEMENTS:
+            logit = np.concatenate([forest.logit(m.features(lo, min(lo + ELEMENTS, m.n))) for lo in range(0, m.n, ELEMENTS)])
+            out.append("\n".join(blocks(page, decode(page, logit))))
+        else:
+            held.append((page, m))
+            size += m.n
+    if held:
+        judge()
     return out
 
 
@@ -472,6 +601,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     """keep..., text, n_chars of every row."""
     from pyspark.sql import types as T
 
+    bound_batches(pages.sparkSession)
     forest, kept = model(), [pages.schema[c] for c in keep]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
