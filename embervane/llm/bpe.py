@@ -37,7 +37,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, small
+from .common import bound_batches, read, small
 
 DEFAULT_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MAX_PAIRS = 400_000
@@ -56,6 +56,8 @@ class Transducer:
     """Tokens out, bytes in; deterministic as far as it has been used."""
 
     def __init__(self, ranks: dict[bytes, int], max_pairs: int = MAX_PAIRS):
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("a byte-level vocabulary has a token for every single byte")
         self.ranks, self.max_pairs = ranks, max_pairs
         nodes = set(ranks)
         for token in ranks:
@@ -296,18 +298,21 @@ def digest_batches(vocabulary: str) -> callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         for batch in small(batches, 1):
-            n_tokens, ids, texts = [], [], []
+            n_tokens, ids, texts, chars = [], [], [], []
             for text in batch.column(1):
                 packed = c.encode_packed(text.as_py() or "")
                 n_tokens.append(len(packed) // 4)
                 ids.append(hashlib.sha256(packed).hexdigest())
                 h = hashlib.sha256()
-                for part in c.decode_text(packed):
-                    h.update(part.encode("utf-8"))
+                stream, n = Utf8Stream(), 0
+                for part in c.decode(packed):
+                    h.update(part)
+                    n += len(stream.feed(part))
                 texts.append(h.hexdigest())
+                chars.append(n + len(stream.close()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string()), pa.array(chars, pa.int64())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"],
             )
 
     return run
@@ -315,6 +320,7 @@ def digest_batches(vocabulary: str) -> callable:
 
 def encode_frame(docs: DataFrame, text_col: str = "text", out_col: str = "ids", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``docs`` with ``out_col`` array<int>: the ids of each whole text."""
+    bound_batches(docs.sparkSession)
     schema = docs.schema
     names = [f.name for f in schema.fields if f.name != out_col]
     at = names.index(text_col)
@@ -341,6 +347,7 @@ def encode_frame(docs: DataFrame, text_col: str = "text", out_col: str = "ids",
 
 def decode_frame(docs: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``docs`` with ``out_col`` string: the text that the ids spell (U+FFFD for what is no UTF-8)."""
+    bound_batches(docs.sparkSession)
     schema = docs.schema
     names = [f.name for f in schema.fields if f.name != out_col]
     at = names.index(ids_col)
@@ -360,6 +367,7 @@ def decode_frame(docs: DataFrame, ids_col: str = "ids", out_col: str = "decoded"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text of ``documents``."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (of the bytes), decoded_chars (of the stream) of every whole text of ``documents``."""
+    bound_batches(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(digest_batches(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(digest_batches(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long")
