@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel
-from .common import partitions, read, small
+from .common import bound_batches, partitions, read, small
 
 BINS, BITS, SHINGLE = 256, 4, 5
 _ATTEMPTS = 64
@@ -105,16 +105,23 @@ def fingerprint_column(texts: pa.Array) -> list[bytes]:
     return out
 
 
+#: Bytes of text of a bucket of neighbouring ids, and the most buckets there can be.
+BUCKET_BYTES, MAX_BUCKETS = 64 << 20, 4096
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (bucket, head, doc_id, text), every bucket together and in order; ``head`` rows repeat the next bucket's first row.
 
     Where the whole table ends, the first row of all follows as the head.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else None
-    cuts = sorted(set(cuts or []))
+    # As many buckets as keep one near BUCKET_BYTES, so that a task's share doesn't grow with the table.
+    shape = rows.agg(F.percentile_approx("doc_id", [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)], 10 * MAX_BUCKETS).alias("c"), F.sum(F.octet_length("text")).alias("size")).first()
+    n = min(MAX_BUCKETS, max(partitions(spark), (shape["size"] or 0) // BUCKET_BYTES))
+    cuts = shape["c"] or []
+    cuts = sorted({cuts[i * MAX_BUCKETS // n - 1] for i in range(1, n)} if cuts else set())
     # Bucket b holds the ids above cuts[b-1], up to cuts[b].
     bucket = F.coalesce(F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
     rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bucket).cast("int"))
@@ -167,12 +174,13 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "finger
     """``docs`` with ``out_col`` string: the packed fingerprint of each whole text, as hex."""
     from pyspark.sql.types import StringType, StructField, StructType
 
+    bound_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name != out_col]
     names = [f.name for f in kept]
     at = names.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, at):
             prints = [p.hex() for p in fingerprint_column(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], [*names, out_col])
 

@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from embervane.llm import chat, decontaminate, fingerprints, html_extract, toxicity, urlfilter
@@ -152,6 +154,24 @@ def test_odd_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '\"", "<!", "</", "<p>", "<span></x>", "<p><div><span>", "<li><b></li>", "<script>", "a=\"", "&#9", "<!--", "<div class='ad'>x"])
+@pytest.mark.parametrize("tail", ["", ">", "'>"])
+def test_a_megabyte_of_one_piece_takes_no_more_than_seconds(piece, tail):
+    source = piece * (1_000_000 // len(piece)) + tail
+    began = time.thread_time()
+    html_extract.extract_texts(html_extract.model(), [source])
+    assert time.thread_time() - began < 20
+
+
+def test_numbers_of_very_many_digits():
+    assert html_extract.unescape("&#" + "0" * 6000 + "65;&#" + "9" * 6000 + ";&#x41;&amp;&#x110000;") == "A\ufffdA&\ufffd"
+    maker = html_extract._Maker(random.Random(5))
+    page = html_extract.Page(maker.page())
+    whole = html_extract.Measures(page)
+    parts = [whole.features(lo, min(lo + 7, whole.n)) for lo in range(0, whole.n, 7)]
+    assert (np.concatenate(parts) == html_extract.features(page)).all()
+
+
 # ---- chat
 
 
