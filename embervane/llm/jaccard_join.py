@@ -10,11 +10,13 @@ many hash ranges; a class is a pivot if it is the least class of more than
 group of kin the least one is and only those whose own edits changed nearly all
 of their keys.  Every class is compared with every pivot within ``e`` (below); a
 class that is linked with a pivot belongs to the Voronoi region of its nearest
-one.  Classes that are neither, and can link with such a class at all by the
-prefixes below, are partitioned again by new pivots among themselves, by the same
-rule and then by weaker ones (``LATER_SHARES``), the least being now the most
-central (it shares most of its rarest shingles); what then remains become pivots all; so recursion ends, and every class that can have a link is a pivot or
-within ``e`` of the pivot whose region it is in.
+one.  The classes that are no pivots, and can link with such a class at all by the
+bounds below, are partitioned again for the sake of those linked with none so far:
+new pivots are the most central classes around them (those with the fewest shingles
+that no other class has), by the same rule and then by a weaker one
+(``LATER_SHARES``); what then remains become pivots all.  So recursion ends, and
+every class that can have a link is a pivot or within ``e`` of the pivot whose
+region it is in.
 
 Windows.  Let x lie in the region of p, and let y, no pivot either, link with x.
 By the triangle inequality d(y, p) <= d(x, p) + e <= 2e.  So y is replicated into
@@ -29,8 +31,12 @@ all.  m grows with the set (``least_shared``), so that neither a chance shingle
 short passage in common makes a pair.
 The order is by a level, the magnitude of a shingle's count over all batches in
 hash buckets (``BUCKETS`` of them: its size doesn't depend on the corpus), then by
-hash; so a passage which many documents share is at the end of the order.  Every
-pair found is verified by the exact intersection.
+hash; so a passage which many documents share is at the end of the order.  Two
+lower bounds of the distance keep a group of kin from being verified pair by pair:
+each set carries PARITY bits, whether it holds an odd number of each class of
+shingles (as many as differ between two sets, so many shingles differ at least),
+and at the deeper levels the number of shingles that no other set there holds.
+Every pair that is left is verified by the exact intersection.
 
 Defined results: a text of fewer words than ``k`` has its whole word sequence as
 its one shingle; one without words, or a null text, has an empty set and links
@@ -50,7 +56,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel
-from .common import cut, read, semi_reduced, small, staged, unstage
+from .common import bound_batches, cut, read, semi_reduced, small, staged, unstage
 
 KEYS = 8
 PIVOT_SHARE = 0.75
@@ -60,6 +66,8 @@ BUCKETS = 1 << 20
 _SHIFT = np.uint64(44)  # a bucket is a hash's first 20 bits
 #: A bucket's count from which it has a level above the lowest.
 COMMON = 4
+#: Bits of a set's parity.
+PARITY = 512
 
 
 def needed(n: np.ndarray | int, percent: int):
@@ -76,6 +84,15 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - needed(n, percent) + least_shared(n))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """PARITY bits, one for each class of hashes: whether the set holds an odd number of that class.
+
+    Sets whose bits differ in x places differ in at least x shingles, whatever else they hold.
+    """
+    odd = (np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64)
+
+
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64), pa.int64())
 
@@ -138,21 +155,22 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def _describe(k: int, percent: int, order: Order):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, key, text) -> (doc_id, key, n, node, prefix, keys)."""
+        """(doc_id, key, text) -> (doc_id, key, n, node, prefix, keys, parity)."""
         for batch in small(batches, 2):
-            sizes, nodes, prefixes, keys = [], [], [], []
+            sizes, nodes, prefixes, keys, bits = [], [], [], [], []
             for s in _sets(batch.column(2), k):
                 n = len(s)
                 sizes.append(n)
                 nodes.append(textkernel.fold(s))
+                bits.append(parity(s))
                 ranked = order.sort(s)
                 prefixes.append(ranked[: prefix_length(n, percent)] if n else ranked)
                 # By hash alone: the rarest shingles of a near copy are those of its own edits.
                 _, first = np.unique(s >> np.uint64(61), return_index=True)
                 keys.append(s[first])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), _signed(np.array(nodes, np.uint64)), _lists(prefixes), _lists(keys)],
-                ["doc_id", "key", "n", "node", "prefix", "keys"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), _signed(np.array(nodes, np.uint64)), _lists(prefixes), _lists(keys), _lists(bits)],
+                ["doc_id", "key", "n", "node", "prefix", "keys", "parity"],
             )
 
     return run
@@ -171,6 +189,15 @@ def _prefixes(k: int, order: Order, percent: int):
     return run
 
 
+def _whole(k: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, text) -> (node, all shingles)."""
+        for batch in small(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(list(_sets(batch.column(1), k)))], ["node", "set"])
+
+    return run
+
+
 def _overlaps(k: int, columns: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(columns..., text of a, text of b) -> (columns..., size of the intersection, of the union)."""
@@ -188,9 +215,14 @@ def _overlaps(k: int, columns: list[str]):
     return run
 
 
-def _pivots(nodes: DataFrame, share: float, rank: tuple[str, ...] = ()) -> DataFrame:
-    """(node) of those that are the least, by ``rank`` and then node, of more than ``share`` of their keys' groups."""
+def _pivots(nodes: DataFrame, share: float, rank: tuple[str, ...] = (), of: DataFrame | None = None) -> DataFrame:
+    """(node) of those that are the least, by ``rank`` and then node, of more than ``share`` of their keys' groups.
+
+    With ``of``, only groups that hold one of its nodes count; the least may be any of ``nodes``.
+    """
     keyed = nodes.select("node", *rank, F.explode("keys").alias("key"))
+    if of is not None:
+        keyed = keyed.join(of.select(F.explode("keys").alias("key")).distinct(), "key", "left_semi")
     least = keyed.groupBy("key").agg(F.min(F.struct(*rank, "node"))["node"].alias("least"))
     won = keyed.join(least, "key").groupBy("node").agg(F.avg((F.col("least") == F.col("node")).cast("int")).alias("won"))
     return won.where(F.col("won") > share).select("node")
@@ -202,22 +234,34 @@ def _shared(n, m, percent: int):
     return F.least(1 + F.floor(F.least(n, m) / 32), overlap)
 
 
+def _near_parity(xa: str, xb: str, na: str, nb: str, percent: int):
+    """Whether sets may be so similar, by the least number of shingles in which their parities say that they differ."""
+    differ = sum((F.bit_count(F.get(xa, F.lit(i)).bitwiseXOR(F.get(xb, F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    return differ * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)
+
+
 def _candidates(items: DataFrame, percent: int) -> DataFrame:
     """(a, b) with a < b, at least one of them a pivot: what shares enough prefix shingles and is of fitting size.
 
-    ``shared``, if there, holds those of the prefix that another of ``items`` has in its own, each with its place.
-    Before a shingle that both prefixes hold, all that the sets have in common is in both prefixes, so in ``shared``.
+    ``shared``, if there, holds those of the prefix that another of ``items`` has in its own, each with its place, and
+    ``alone`` is how many shingles of the whole set no other set holds, so that none can have them in common with it.
+    Before a shingle that both prefixes hold, all that the sets have in common is in both prefixes, so in ``shared``;
+    of what is not in ``shared``, at most as much as stands before the shingle is of those that it has alone.
     """
+    ends = lambda one, x: one.select("s", *[F.col(c).alias(c + x) for c in one.columns if c != "s"])
+    some = (F.col("pivota") | F.col("pivotb")) & (F.col("nodea") < F.col("nodeb"))
     if "shared" in items.columns:
-        one = items.select("node", "n", "pivot", F.posexplode("shared").alias("before", "x"))
-        one = one.select("node", "n", "pivot", "before", (F.col("n") - F.col("x.pos")).alias("after"), F.col("x.s").alias("s"))
+        one = items.select("node", "n", "pivot", "parity", "alone", F.posexplode("shared").alias("before", "x"))
+        later = F.greatest(F.lit(0), F.col("alone") - (F.col("x.pos") - F.col("before")))
+        one = one.select("node", "n", "pivot", "parity", "before", (F.col("n") - F.col("x.pos") - later).alias("after"), F.col("x.s").alias("s"))
+        most = F.least("beforea", "beforeb") + F.least("aftera", "afterb")  # in common before the shingle, and from it on
+        fits = some & _near_parity("paritya", "parityb", "na", "nb", percent)
     else:
-        one = items.select("node", "n", "pivot", F.lit(0).alias("before"), F.col("n").alias("after"), F.explode("prefix").alias("s"))
-    a = one.select("s", *[F.col(c).alias(d) for c, d in (("node", "a"), ("n", "na"), ("pivot", "pa"), ("before", "ba"), ("after", "ra"))])
-    b = one.select("s", *[F.col(c).alias(d) for c, d in (("node", "b"), ("n", "nb"), ("pivot", "pb"), ("before", "bb"), ("after", "rb"))])
-    most = F.least("ba", "bb") + F.least("ra", "rb")  # in common before the shingle, and from it on
-    fits = (most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent) & (F.col("pa") | F.col("pb")) & (F.col("a") < F.col("b"))
-    both = a.join(b, "s").where(fits).groupBy("a", "b", "pa", "pb", "na", "nb").count()
+        one = items.select("node", "n", "pivot", F.explode("prefix").alias("s"))
+        most, fits = F.least("na", "nb"), some
+    fits = fits & (most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    both = ends(one, "a").join(ends(one, "b"), "s").where(fits).groupBy("nodea", "nodeb", "pivota", "pivotb", "na", "nb").count()
+    both = both.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), F.col("pivota").alias("pa"), F.col("pivotb").alias("pb"), "na", "nb", "count")
     return both.where(F.col("count") >= _shared("na", "nb", percent)).select("a", "b", "pa", "pb")
 
 
@@ -234,6 +278,16 @@ def _linkable(items: DataFrame, percent: int) -> DataFrame:
     return shared.where(enough).select("node", (F.col("size") - F.size("shared")).alias("own"), "shared")
 
 
+def _with_alone(items: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """``items`` with ``alone``, how many shingles of a set no other whole set of ``items`` holds; without those that have
+    too many to link with any."""
+    sets = texts.join(items.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_whole(k), "node long, set array<long>")
+    held = sets.select("node", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("held"), F.min("node").alias("node"))
+    alone = held.where("held = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    out = items.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    return out.where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """``pairs`` at least so similar, with ``inter`` and ``either`` (the sizes of intersection and union)."""
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("_ta"))
@@ -276,10 +330,11 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
 
     Two documents link when 100 * |A & B| >= percent * |A | B|, over sets of k-word shingles.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("key"), "text")
     order = shingle_order(rows.select("text"), k)
-    kind = "doc_id long, key long, n long, node long, prefix array<long>, keys array<long>"
+    kind = "doc_id long, key long, n long, node long, prefix array<long>, keys array<long>, parity array<long>"
     told = staged(rows.mapInArrow(_describe(k, percent, order), kind), "described")
 
     # Classes of equal sets, each with its least document; one row of a class stands for it.
@@ -291,9 +346,9 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
     one = told.select("doc_id", "key", "node", "keys")
     one = (one.dropDuplicates(["doc_id", "key"]) if repeated else one).join(classes, ["doc_id", "key", "node"]).select("node", "keys")
     pivot = _pivots(one, PIVOT_SHARE).withColumn("pivot", F.lit(True))
-    classes = classes.join(pivot, "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
-    one = told.select("doc_id", "key", "node", "prefix", "keys")
-    nodes = (one.dropDuplicates(["doc_id", "key"]) if repeated else one).join(classes, ["doc_id", "key", "node"])
+    flagged = classes.join(pivot, "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
+    one = told.select("doc_id", "key", "node", "prefix", "keys", "parity")
+    nodes = (one.dropDuplicates(["doc_id", "key"]) if repeated else one).join(flagged, ["doc_id", "key", "node"])
     nodes = staged(nodes, "nodes")
     described, told = told, staged(told.select("doc_id", "key", "n", "node"), "told")
     unstage(described)
@@ -301,24 +356,29 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
     pairs = staged(_candidates(nodes, percent), "pairs")
     rest = nodes.where("NOT pivot")
     rest = staged(rest.join(_linkable(rest, percent), "node"), "rest")
+    unstage(nodes)
     wanted = rest.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    texts = nodes.select("node", "doc_id", "key").join(wanted, "node", "left_semi")
+    texts = classes.select("node", "doc_id", "key").join(wanted, "node", "left_semi")
     texts = semi_reduced(rows, texts, ["doc_id", "key"]).join(texts, ["doc_id", "key"]).select("node", "text")
     texts = staged(texts.dropDuplicates(["node"]) if repeated else texts, "texts")
     links = staged(_verified(pairs, texts, k, percent), "links")
+    unstage(pairs)
 
-    # Deeper levels of the recursion: new pivots among what is linked with none.
-    found, left = [links], rest.join(_ends(links), "node", "left_anti")
+    # Deeper levels of the recursion: new pivots for what is linked with none.
+    linkable, fit = rest, staged(_with_alone(rest.drop("own", "shared"), texts, k, percent), "fit")
+    rest = staged(fit.join(_linkable(fit, percent), "node"), "rest")  # what a set has alone among more isn't shared among fewer
+    unstage(linkable, fit)
+    found, left = [links], staged(rest.join(_ends(links), "node", "left_anti").select("node", "keys"), "left")
     for share in LATER_SHARES:
-        left = staged(left.select("node", "own", "keys"), "left")
         if left.isEmpty():
             break
-        new = staged(_pivots(left, share, ("own",)) if share >= 0 else left.select("node"), "pivots")
+        new = staged(_pivots(rest, share, ("alone", "own"), left) if share >= 0 else left.select("node"), "pivots")
         level = rest.drop("pivot").join(new.withColumn("pivot", F.lit(True)), "node", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
         more = staged(_verified(_candidates(level, percent), texts, k, percent), "links")
         found.append(more)
-        left = left.join(new, "node", "left_anti").join(_ends(more), "node", "left_anti")
-        rest = staged(rest.join(new, "node", "left_anti"), "rest")
+        done, left = left, staged(left.join(new, "node", "left_anti").join(_ends(more), "node", "left_anti"), "left")
+        before, rest = rest, staged(rest.join(new, "node", "left_anti"), "rest")
+        unstage(done, before, new)
 
     edges = found[0]
     for more in found[1:]:
@@ -326,9 +386,11 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
     label = staged(components(edges), "labels")
     late = _region_links(edges, rest, texts, label, k, percent, order)
     if not late.isEmpty():
-        label = staged(components(edges.select("a", "b").unionByName(late)), "labels")
+        first, label = label, staged(components(edges.select("a", "b").unionByName(late)), "labels")
+        unstage(first)
+    unstage(*found, left, rest, texts, late)
 
-    named = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    named = classes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "label").select("node", "component_id")
     out = told.select("doc_id", "key", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
@@ -371,13 +433,16 @@ def _region_links(edges: DataFrame, rest: DataFrame, texts: DataFrame, label: Da
     ring = _verified(ring, texts, k, wide).withColumn("dy", 1 - F.col("inter") / F.col("either"))
     ring = staged(ring.where(F.col("dy") <= F.col("reach") + e + 1e-9).select(F.col("a").alias("y"), F.col("b").alias("p"), "cy", "dy"), "ring")
     # Within a region too, only what shares one of its rarest shingles can link.
-    own = rest.select("node", "n", F.explode("prefix").alias("s"))
-    inside = member.join(own.select(F.col("node").alias("x"), F.col("n").alias("nx"), "s"), "x").select("p", "s", "x", "cx", "d", "nx")
-    around = ring.join(own.select(F.col("node").alias("y"), F.col("n").alias("ny"), "s"), "y").select("p", "s", "y", "cy", "dy", "ny")
-    pairs = inside.join(around, ["p", "s"]).where((F.col("cx") != F.col("cy")) & (F.col("dy") <= F.col("d") + e + 1e-9))
+    own = rest.select("node", "n", "parity", F.explode("prefix").alias("s"))
+    inside = member.join(own.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("parity").alias("px"), "s"), "x").select("p", "s", "x", "cx", "d", "nx", "px")
+    around = ring.join(own.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py"), "s"), "y").select("p", "s", "y", "cy", "dy", "ny", "py")
+    fits = (F.col("cx") != F.col("cy")) & (F.col("dy") <= F.col("d") + e + 1e-9) & _near_parity("px", "py", "nx", "ny", percent)
+    pairs = inside.join(around, ["p", "s"]).where(fits)
     pairs = pairs.groupBy("p", "x", "y", "nx", "ny").count().where(F.col("count") >= _shared("nx", "ny", percent))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return staged(_verified(pairs, texts, k, percent).select("a", "b"), "late")
+    late = staged(_verified(pairs, texts, k, percent).select("a", "b"), "late")
+    unstage(member, owners, parts, ring)
+    return late
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from embervane.llm import jaccard_join, substring
@@ -137,3 +138,24 @@ def test_substrings_of_rows_that_share_an_id(spark, docs_of, prose):
     a, b = prose("p", 80), prose("q", 80)
     got = substring.dedup_substrings(docs_of([(1, a), (1, b), (2, f"{b} tail"), (None, a)])).collect()
     assert sorted((x.doc_id or -1, x.n_removed) for x in got) == [(-1, 0), (1, 0), (1, 0), (2, 80)]
+
+
+def test_parity_is_a_lower_bound_of_the_difference():
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = (np.unique(r.integers(0, 3000, int(r.integers(1, 900)), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in "ab")
+        bits = sum(int(x).bit_count() for x in jaccard_join.parity(a) ^ jaccard_join.parity(b))
+        assert bits <= len(np.setxor1d(a, b))
+    assert not (jaccard_join.parity(a) ^ jaccard_join.parity(a.copy())).any()
+
+
+def test_a_group_of_edited_copies_that_no_pivot_reaches(spark, docs_of, prose):
+    r, base = random.Random(5), prose(77, 150).split()
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for at in r.sample(range(len(w)), 2 + i % 4):
+            w[at] = f"w{r.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(docs_of(rows), 4, 85).collect())
+    assert got == components(rows, 4, 85)
