@@ -82,7 +82,7 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-MAX_BLOOM_BLOCKS = 1 << 18
+MAX_BLOOM_BLOCKS = 1 << 17
 
 
 def _bloom_mask(h):
@@ -93,7 +93,7 @@ def _bloom_mask(h):
 def bloom(keys: DataFrame, on: list[str]):
     """A test for columns of xxhash64: true for the hash of any row of ``keys`` in the columns ``on`` and, rarely, for others.
 
-    A blocked filter of at most MAX_BLOOM_BLOCKS 64-bit blocks (2 MB); with more keys than it holds, more others pass.
+    A blocked filter of at most MAX_BLOOM_BLOCKS 64-bit blocks (1 MB); with more keys than it holds, more others pass.
     """
     n = keys.count()
     blocks = min(MAX_BLOOM_BLOCKS, max(16, 1 << (n // 4).bit_length()))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel
-from .common import read, small, staged
+from .common import bound_batches, read, semi_reduced, semi_split, small, staged, unstage
 
 WINDOW, GRAM = 50, 10
 
@@ -191,27 +191,40 @@ KEPT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 stri
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, kept_sha256, removed intervals) of every row."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("key"), "text")  # an id may stand on rows of different texts
     sketch = staged(rows.mapInArrow(_sketch(window, gram), "doc_id long, key long, whole long, grams array<long>"), "sketch")
 
     firsts = sketch.groupBy("whole").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copied = firsts.where("first < last").select("whole", "first")
+    copied = staged(firsts.where("first < last").select("whole", "first"), "copied")
     copies = staged(sketch.join(copied, "whole").where("doc_id > first").select("doc_id", "key").distinct(), "copies")
 
-    anchors = sketch.join(copies, ["doc_id", "key"], "left_anti").select("doc_id", "key", F.explode("grams").alias("gram"))
-    anchors = staged(anchors, "anchors")
-    repeated = anchors.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("gram")
-    found = anchors.join(repeated, "gram", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("gram").alias("grams"))
+    # What repeats is written before it is joined back: Spark then splits a gram or window that very many documents hold.
+    single = sketch.join(copies, ["doc_id", "key"], "left_anti").select("doc_id", "key", "grams")
+    anchors = staged(single.select("doc_id", "key", F.explode("grams").alias("gram")), "anchors")
+    unstage(sketch, copied)
+    repeated = anchors.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    repeated = staged(repeated.select("gram"), "repeated")
+    found = staged(anchors.join(repeated, "gram").groupBy("doc_id", "key").agg(F.collect_set("gram").alias("grams")), "found")
+    unstage(anchors, repeated)
 
-    wide = rows.join(found, ["doc_id", "key"]).select("doc_id", "key", "text", "grams")
+    wide = semi_reduced(rows, found, ["doc_id", "key"]).join(found, ["doc_id", "key"]).select("doc_id", "key", "text", "grams")
     windows = staged(wide.mapInArrow(_windows(window, gram), "doc_id long, key long, window long, pos int"), "windows")
+    unstage(found)
     first = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    gone = windows.join(first.select("window", "first"), "window").where("doc_id > first")
+    first = staged(first.select("window", "first"), "first")
+    gone = windows.join(first, "window").where("doc_id > first")
     gone = gone.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("positions"), F.lit(False).alias("copy"))
     marks = gone.unionByName(copies.select("doc_id", "key", F.array().cast("array<int>").alias("positions"), F.lit(True).alias("copy")))
-    judged = rows.join(marks, ["doc_id", "key"], "left")
-    return judged.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "positions").mapInArrow(_cut_texts(window), KEPT)
+    marks = staged(marks, "marks")
+    unstage(windows, first, copies)
+
+    # Texts that surely lose nothing stay where they are; only the others meet their marks.
+    some, none = semi_split(rows, marks, ["doc_id", "key"])
+    judged = some.join(marks, ["doc_id", "key"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "positions")
+    whole = none.select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<int>").alias("positions"))
+    return judged.unionByName(whole).mapInArrow(_cut_texts(window), KEPT)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
