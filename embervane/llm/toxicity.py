@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel
-from .common import read, small
+from .common import bound_batches, read, small, staged, unstage
 
 MAX_TRAIN_DOCS = 20_000
 MAX_FEATURES = 20_000
@@ -316,8 +316,17 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """A field fitted on the bounded sample; of each pass only counts, or the sample's segments, come to the driver."""
+    bound_batches(docs.sparkSession)
     sample = train_rows(labels, id_col)
     rows = docs.join(F.broadcast(sample), docs[id_col].cast("long") == sample["doc_id"]).select(sample["toxic"], docs[text_col].alias("text"))
+    rows = staged(rows, "sample")  # the corpus is read once; each pass below reads the sample alone
+    try:
+        return _fitted(rows)
+    finally:
+        unstage(rows)
+
+
+def _fitted(rows: DataFrame) -> Field:
     counted = rows.where("toxic = 1").mapInArrow(_toxic_features, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     top = counted.where(F.col("n") >= MIN_TOXIC_DOCS).orderBy(F.desc("n"), "feature").limit(20 * MAX_FEATURES).toPandas()
     found = top["feature"].to_numpy(np.int64).view(np.uint64)
@@ -379,15 +388,18 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 
 def score_documents(docs: DataFrame, field: Field, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep..., score, toxic_spans (code points, end exclusive) of every row."""
+    bound_batches(docs.sparkSession)
     kept = [docs.schema[c] for c in keep]
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    # A text that is kept is the one that is scored: no row carries its text twice.
+    text_at = keep.index(text_col) if text_col in keep else len(keep)
+    rows = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("_text")]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
-        for batch in small(batches, len(kept)):
+        for batch in small(batches, text_at):
             scores, spans = [], []
             last, points = None, None
-            for r, t, piece, own, p in _document_marginals(field, batch.column(len(kept))):
+            for r, t, piece, own, p in _document_marginals(field, batch.column(text_at)):
                 scores.append(field.score(p))
                 bad = np.flatnonzero(p >= 0.5)
                 if not len(bad):
