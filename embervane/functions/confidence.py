@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .stats import clip, sigmoid
+from .stats import clip, sigmoid, with_mad
 from .vectors import _c
 
 
@@ -51,19 +51,39 @@ def attenuate(conf, trust, flagged, min_trust: float = 0.3, floor: float = 0.0)
     return F.when(_c(flagged), F.greatest(1 - (1 - _c(conf)) * share, F.lit(floor))).otherwise(_c(conf))
 
 
+def _finite(w: Column) -> Column:
+    bad = F.isnan(w) | (F.abs(w) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit("a sample weight isn't finite")).cast("double")).otherwise(w)
+
+
+def check_weights(df, weight: str = "weight"):
+    """``df``, or an error if it has rows and none of them weighs more than 0 (one aggregate of the table)."""
+    top = df.agg(F.max(weight).alias("w"), F.count("*").alias("n")).first()
+    if top["n"] and top["w"] is not None and top["w"] <= 0:
+        raise ValueError("all sample weights are 0 or less")
+    return df
+
+
+def robust_by_slice(df, keys: list[str], score: str = "mean_score", flagged: str = "flagged", z: str = "z_mad", out: str = "confidence", **args):
+    """Adds the robust z of ``score`` in its own slice (0 below the slice's median) and the confidence from it."""
+    df = with_mad(df, score, keys, "_med", "_mad")
+    df = df.withColumn(z, flagged_z(score, "_med", "_mad")).drop("_med", "_mad")
+    return df.withColumn(out, robust(z, flagged, **args))
+
+
 def sample_weight(conf, mode: str = "linear", power: float = 1.0, lo: float = 0.0, hi: float = 1.0, scale: float = 1.0, shift: float = 0.0) -> Column | None:
-    """none and filter: no weight; linear, power, clip and affine of the confidence."""
-    c = _c(conf)
+    """none and filter: no weight; linear, power, clip and affine (clipped too) of the confidence; what isn't finite is an error."""
+    c = _c(conf).cast("double")
     if mode in ("none", "filter"):
         return F.lit(None).cast("double")
     if mode == "linear":
-        return c
+        return _finite(c)
     if mode == "power":
         if power <= 0:
             raise ValueError("power > 0 is needed")
-        return F.pow(c, F.lit(power))
+        return _finite(F.pow(c, F.lit(power)))
     if mode == "clip":
-        return clip(c, lo, hi)
+        return _finite(clip(c, lo, hi))
     if mode == "affine":
-        return scale * c + shift
+        return _finite(clip(scale * c + shift, lo, hi))
     raise ValueError(f"unknown mode {mode}")

@@ -45,7 +45,7 @@ def trust(df: DataFrame, context: list[str], label: str, id_col: str, vec: str =
     use = unit.where("_n >= 2")
     centre = scoring.trimmed_centroids(use, keys, id_col, "_u", trim)
     spread = use.join(centre, keys).withColumn("_d", vectors.cosine_distance("_u", "centroid"))
-    width = spread.groupBy(*keys).agg(F.median("_d").alias("_w"))
+    width = spread.groupBy(*keys).agg(F.avg("_d").alias("_w"))
     intra = width.groupBy(*context).agg(F.avg("_w").alias("intra"))
     listed = centre.groupBy(*context).agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("centroid").alias("c"))).alias("_all"))
     nearest = centre.join(listed, context).withColumn(

@@ -83,20 +83,33 @@ def add_noise(df: DataFrame, spec: Noise, id_col: str) -> DataFrame:
     return out.select(*df.columns, "label_noisy", "noise_truth")
 
 
+#: Ranges of scores that running sums are divided into.
+BANDS = 256
+
+
 def detection_metrics(df: DataFrame, truth: str, score: str, flag: str | None = None, shares: tuple[float, ...] = (0.01, 0.05, 0.10), only: str | None = None, run: str | None = None) -> DataFrame:
     """One row (for each ``run``): AUROC (ties half), average precision, precision, recall and lift at k, and of the flag.
 
-    Rows meet only by distinct score: the running sums go over those.
+    Rows meet only by distinct score.  The running sums over those are taken within ranges of scores (some 1/BANDS of them
+    each) and then over the ranges, so no task holds all scores.
     """
     if only:
         df = df.where(F.col(only))
     keys = [run] if run else []
     df = df.where(F.col(score).isNotNull())
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     y = F.col(truth).cast("int")
     by = df.groupBy(*keys, score).agg(F.sum(y).cast("double").alias("p"), F.sum(1 - y).cast("double").alias("n"))
-    up, all_ = w.orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow), w
-    by = by.withColumns({"all_p": F.sum("p").over(all_), "all_n": F.sum("n").over(all_), "cp": F.sum("p").over(up), "cn": F.sum("n").over(up)})
+    cuts = by.groupBy(*keys).agg(F.percentile_approx(F.col(score).cast("double"), [i / BANDS for i in range(1, BANDS)], 40 * BANDS).alias("_cuts"))
+    by = by.join(cuts, keys) if keys else by.join(F.broadcast(cuts))
+    by = by.withColumn("_band", F.size(F.filter("_cuts", lambda c: c < F.col(score).cast("double")))).drop("_cuts")
+    # At most BANDS rows for each run: what lies in lower bands, and in all.
+    band = by.groupBy(*keys, "_band").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    lower = w.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    band = band.withColumns({"all_p": F.sum("_p").over(w), "all_n": F.sum("_n").over(w), "_lp": F.coalesce(F.sum("_p").over(lower), F.lit(0.0)), "_ln": F.coalesce(F.sum("_n").over(lower), F.lit(0.0))})
+    by = by.join(band.drop("_p", "_n"), [*keys, "_band"])
+    up = Window.partitionBy(*keys, "_band").orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by = by.withColumns({"cp": F.col("_lp") + F.sum("p").over(up), "cn": F.col("_ln") + F.sum("n").over(up)})
     by = by.withColumns({"tp": F.col("all_p") - F.col("cp") + F.col("p"), "fp": F.col("all_n") - F.col("cn") + F.col("n")})
     ratio = lambda a, b: F.when(b > 0, a / b)
     aggs = [
@@ -192,7 +205,7 @@ def detect_isolation(df: DataFrame, label: str, id_col: str, contamination: floa
 
 
 def detect_lof(df: DataFrame, label: str, id_col: str, contamination: float = 0.1, vec: str = "embedding", k: int = 20, **_) -> DataFrame:
-    out = df.join(kernels.lof(df, [label], id_col, vec, k).withColumnRenamed("lof", "S"), id_col)
+    out = df.join(kernels.lof(df, [], id_col, vec, k).withColumnRenamed("lof", "S"), id_col)
     return scale_score(flag_share(out, "S", contamination), "S")
 
 

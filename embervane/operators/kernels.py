@@ -1,7 +1,7 @@
 """Dense linear algebra inside one slice: blocked all-pairs distances, in Arrow-fed grouped maps.
 
 A group is held by one task, so a slice must be bounded; adaptive cells
-(``slices.adaptive_level``) keep it at ``max_slice_size`` rows.  Distances are
+(``slices.adaptive_level``) keep it at ``max_slice_size`` rows, and a group of more than ``MAX_GROUP`` rows is refused.  Distances are
 made ``BLOCK`` rows at a time, so a task needs BLOCK x n doubles beside its slice.
 """
 
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK = 1024
+#: Rows of a group beyond which a kernel refuses: its distances are all pairs of one task.
+MAX_GROUP = 50_000
 
 
 def effective_k(n: int, k: int) -> int:
@@ -27,8 +29,13 @@ def _unit(col: pd.Series) -> np.ndarray:
 
 
 def _grouped(df: DataFrame, keys: list[str], cols: list[str], fn, out: list[T.StructField]) -> DataFrame:
+    def bounded(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MAX_GROUP:
+            raise ValueError(f"a slice of {len(pdf)} rows: distances of all pairs are made for at most {MAX_GROUP}; divide it (max_slice_size, more keys)")
+        return fn(pdf)
+
     picked = df.select(*dict.fromkeys([*keys, *cols]))
-    return picked.groupBy(*keys).applyInPandas(fn, T.StructType(out))
+    return picked.groupBy(*keys).applyInPandas(bounded, T.StructType(out))
 
 
 def knn_distance(df: DataFrame, keys: list[str], id_col: str, vec: str = "embedding", k: int = 10, adaptive_k: bool = True) -> DataFrame:
@@ -97,7 +104,7 @@ def knn_labels(df: DataFrame, keys: list[str], id_col: str, label_col: str, vec:
 
 
 def lof(df: DataFrame, keys: list[str], id_col: str, vec: str = "embedding", k: int = 20) -> DataFrame:
-    """(id, lof): local outlier factor, Euclidean, k = min(k, max(2, n - 1))."""
+    """(id, lof): local outlier factor, Euclidean, k = min(k, max(2, n - 1)); without keys, over all rows (at most MAX_GROUP)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf[vec].to_numpy()).astype(np.float64)

@@ -84,11 +84,11 @@ def confidence_gated(spark, d):
     return df.groupBy("l_discount", "gate", r6(confidence.curve(F.col("l_discount") * 10, "gate", t=0.5), "confidence")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT l_discount AS c, round(l_discount * 10, 6) AS linear, round((l_discount * 10) ** 2, 6) AS squared, round(least(greatest(l_discount * 10, 0.2), 0.8), 6) AS clipped, round(0.5 * l_discount * 10 + 0.1, 6) AS affine FROM lineitem")
+@query("SELECT DISTINCT l_discount AS c, round(l_discount * 10, 6) AS linear, round((l_discount * 10) ** 2, 6) AS squared, round(least(greatest(l_discount * 10, 0.2), 0.8), 6) AS clipped, round(least(greatest(0.5 * l_discount * 10 + 0.1, 0.0), 0.5), 6) AS affine FROM lineitem")
 def sample_weights(spark, d):
     w = lambda *a, **k: confidence.sample_weight(F.col("c") * 10, *a, **k)
     df = table(spark, d, "lineitem").select(F.col("l_discount").alias("c")).distinct()
-    return df.select("c", r6(w("linear"), "linear"), r6(w("power", power=2.0), "squared"), r6(w("clip", lo=0.2, hi=0.8), "clipped"), r6(w("affine", scale=0.5, shift=0.1), "affine"))
+    return df.select("c", r6(w("linear"), "linear"), r6(w("power", power=2.0), "squared"), r6(w("clip", lo=0.2, hi=0.8), "clipped"), r6(w("affine", scale=0.5, shift=0.1, hi=0.5), "affine"))
 
 
 @query(
@@ -103,18 +103,13 @@ def adaptive_level(spark, d):
     return df.groupBy("lab", "cell", "cell_level").agg(F.count("*").alias("n"))
 
 
-_SN = "c AS (SELECT s_nationkey AS cell, count(*) AS n FROM supplier GROUP BY 1)"
-
-
-@query(
-    with_(_SN, "o AS (SELECT a.cell, b.cell AS target, row_number() OVER (PARTITION BY a.cell ORDER BY b.n DESC, b.cell) AS r FROM c a JOIN c b ON abs(a.cell - b.cell) = 1 WHERE a.n < 4)")
-    + "SELECT c.cell, coalesce(o.target, c.cell) AS target FROM c LEFT JOIN o ON o.cell = c.cell AND o.r = 1"
-)
+# Moves follow moves, so SQL doesn't tell it; a test holds it against plain loops.
+@query()
 def merge_small_slices(spark, d):
     n = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("cell")).agg(F.count("*").alias("n"))
     near = n.select("cell").withColumn("neighbour", F.explode(F.array(F.col("cell") - 1, F.col("cell") + 1)))
     n = n.withColumn("lab", F.lit(1))
-    return slices.merge_map(n, near, ["lab"], "cell", 4, max_iterations=1).select("cell", "target")
+    return slices.merge_map(n, near, ["lab"], "cell", 4).select("cell", "target")
 
 
 _MAP = "(VALUES ('Brand#11', 'a'), ('Brand#12', 'b'), ('Brand#21', 'a'), ('Brand#32', 'c')) m(code, cls)"

@@ -104,14 +104,10 @@ def undersized_downgrade(spark, d):
     return flagging.grades(s, "small").select("vec_id", F.col("S_anomaly").alias("s_anomaly"), "anomaly_flag")
 
 
-@query(_base().rstrip() + _FLAGGED + ", z0 AS (SELECT *, median(mean_score) OVER () AS mm FROM f2), z1 AS (SELECT *, median(abs(mean_score - mm)) OVER () AS ma FROM z0), z2 AS (SELECT *, greatest((mean_score - mm) / (CASE WHEN ma = 0 THEN 1.0 ELSE ma END), 0.0) AS z FROM z1) SELECT vec_id, round(z, 6) AS z_mad, round(CASE WHEN flagged THEN 1 / (1 + exp(least(greatest(ln(1 / 1e-3 - 1) / 7.0 * (z - 3.0), -50.0), 50.0))) ELSE 1.0 END, 6) AS confidence FROM z2")
+@query(_base().rstrip() + _FLAGGED + ", z0 AS (SELECT *, median(mean_score) OVER (PARTITION BY label) AS mm FROM f2), z1 AS (SELECT *, median(abs(mean_score - mm)) OVER (PARTITION BY label) AS ma FROM z0), z2 AS (SELECT *, greatest((mean_score - mm) / (CASE WHEN ma = 0 THEN 1.0 ELSE ma END), 0.0) AS z FROM z1) SELECT vec_id, round(z, 6) AS z_mad, round(CASE WHEN flagged THEN 1 / (1 + exp(least(greatest(ln(1 / 1e-3 - 1) / 7.0 * (z - 3.0), -50.0), 50.0))) ELSE 1.0 END, 6) AS confidence FROM z2")
 def robust_confidence(spark, d):
-    s = _screened(spark, d)
-    m = s.agg(F.median("mean_score").alias("mm"))
-    s = s.join(F.broadcast(m))
-    s = s.join(F.broadcast(s.agg(F.median(F.abs(F.col("mean_score") - F.col("mm"))).alias("ma"))))
-    s = s.withColumn("z_mad", confidence.flagged_z("mean_score", "mm", "ma"))
-    return s.select("vec_id", r6("z_mad"), r6(confidence.robust("z_mad", "flagged"), "confidence"))
+    s = confidence.robust_by_slice(_screened(spark, d).drop("confidence"), ["label"])
+    return s.select("vec_id", r6("z_mad"), r6("confidence"))
 
 
 # The margins of a context (cell): unit vectors, a centroid for each label.
@@ -135,7 +131,7 @@ _PURITY = (
     "pn AS (SELECT cell, count(*) AS n FROM e GROUP BY cell),\n"
     "pp AS (SELECT a.vec_id, a.label AS own, b.label AS lab, least(greatest(10, least(floor(sqrt(n)), 50)), n - 1) AS k,\n"
     "  row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_cosine_similarity(a.v, b.v), b.vec_id) AS r\n"
-    "  FROM e a JOIN e b ON a.cell = b.cell AND a.vec_id <> b.vec_id JOIN pn ON pn.cell = a.cell WHERE a.vec_id % 10 = 0),\n"
+    "  FROM e a JOIN e b ON a.cell = b.cell AND a.vec_id <> b.vec_id JOIN pn ON pn.cell = a.cell),\n"
     "pv AS (SELECT vec_id, own, lab, k, count(*) AS votes FROM pp WHERE r <= k GROUP BY ALL),\n"
     "pu AS (SELECT vec_id, coalesce(sum(votes) FILTER (lab = own), 0) / max(k) AS same_label_frac, arg_min(lab, -votes * 1000 + lab) AS majority_label, max(votes) / max(k) AS majority_frac FROM pv GROUP BY vec_id)"
 )
@@ -143,13 +139,13 @@ _PURITY = (
 
 @query(with_(EMB, _PURITY) + "SELECT e.vec_id, round(same_label_frac, 6) AS same_label_frac, majority_label, round(majority_frac, 6) AS majority_frac FROM e LEFT JOIN pu USING (vec_id)")
 def knn_label_purity(spark, d):
-    e = vectors_of(spark, d).withColumn("hit", F.col("vec_id") % 10 == 0)
+    e = vectors_of(spark, d).withColumn("hit", F.lit(True))
     return context.purity(e, "hit", ["cell"], "label", "vec_id").select("vec_id", r6("same_label_frac"), "majority_label", r6("majority_frac"))
 
 
-@query(_MARGIN.rstrip() + ",\n" + _PURITY + " SELECT m.vec_id, round(0.5 * greatest(CASE WHEN m.vec_id % 10 = 0 THEN 1 / (1 + exp(-least(greatest(10 * (alt_margin - 0.001), -50.0), 50.0))) ELSE 1.0 END, 0.85) * greatest(CASE WHEN m.vec_id % 10 = 0 THEN coalesce(same_label_frac ** 0.5, 1.0) ELSE 1.0 END, 0.85), 6) AS confidence_alt FROM mg m LEFT JOIN pu USING (vec_id)")
+@query(_MARGIN.rstrip() + ",\n" + _PURITY + " SELECT m.vec_id, round(0.5 * greatest(1 / (1 + exp(-least(greatest(10 * (alt_margin - 0.001), -50.0), 50.0))), 0.85) * greatest(coalesce(same_label_frac ** 0.5, 1.0), 0.85), 6) AS confidence_alt FROM mg m LEFT JOIN pu USING (vec_id)")
 def confidence_fusion(spark, d):
-    e = vectors_of(spark, d).withColumn("hit", F.col("vec_id") % 10 == 0)
+    e = vectors_of(spark, d).withColumn("hit", F.lit(True))
     e = context.purity(context.margins(e, ["cell"], "label"), "hit", ["cell"], "label", "vec_id")
     return e.select("vec_id", r6(confidence.fuse(F.lit(0.5), "alt_margin", "same_label_frac", "hit"), "confidence_alt"))
 
@@ -158,7 +154,7 @@ _TRUST = with_(
     EMB, "e2 AS (SELECT vec_id, cell * 100 + label AS g, cell, label, list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) + 1e-12)) AS v, count(*) OVER (PARTITION BY cell, label) AS gn FROM e)",
     "e3 AS (SELECT * FROM e2 WHERE gn >= 2)", trimmed_sql("e3", "g", "q", 0.10),
     "sp AS (SELECT e3.cell, e3.g, list_cosine_distance(e3.v, q.c) AS d FROM e3 JOIN q USING (g))",
-    "wi AS (SELECT cell, avg(w) AS intra FROM (SELECT cell, g, median(d) AS w FROM sp GROUP BY ALL) GROUP BY cell)",
+    "wi AS (SELECT cell, avg(w) AS intra FROM (SELECT cell, g, avg(d) AS w FROM sp GROUP BY ALL) GROUP BY cell)",
     "pr AS (SELECT a.g, min(list_cosine_distance(a.c, b.c)) AS m FROM q a JOIN q b ON a.g // 100 = b.g // 100 AND a.g <> b.g GROUP BY a.g)",
     "ie AS (SELECT g // 100 AS cell, avg(m) AS inter FROM pr GROUP BY 1)",
     "tr AS (SELECT cell, least(greatest((inter / (inter + intra + 1e-12) - 0.5) / 0.5, 0.0), 1.0) AS slice_trust FROM wi JOIN ie USING (cell))",
@@ -241,14 +237,14 @@ def hierarchical_scores(spark, d):
 
 
 @query(
-    with_(EMB, "gp AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) ** 2))) AS d FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id)",
-          "gn AS (SELECT label, least(20, greatest(2, count(*) - 1)) AS k FROM e GROUP BY label)",
-          "gr AS (SELECT gp.*, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r, k FROM gp JOIN gn USING (label))", "gk AS (SELECT * FROM gr WHERE r <= k)",
+    with_(EMB, "gp AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) ** 2))) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id)",
+          "gn AS (SELECT least(20, greatest(2, count(*) - 1)) AS k FROM e)",
+          "gr AS (SELECT gp.*, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r, k FROM gp CROSS JOIN gn)", "gk AS (SELECT * FROM gr WHERE r <= k)",
           "kd AS (SELECT i, max(d) AS kdist FROM gk GROUP BY i)", "lr AS (SELECT gk.i, 1 / (avg(greatest(gk.d, kd.kdist)) + 1e-10) AS lrd FROM gk JOIN kd ON kd.i = gk.j GROUP BY gk.i)")
     + "SELECT gk.i AS vec_id, round(avg(b.lrd) / any_value(a.lrd), 6) AS lof FROM gk JOIN lr a ON a.i = gk.i JOIN lr b ON b.i = gk.j GROUP BY gk.i"
 )
 def baseline_lof(spark, d):
-    return kernels.lof(vectors_of(spark, d), ["label"], "vec_id").select("vec_id", r6("lof"))
+    return kernels.lof(vectors_of(spark, d), [], "vec_id").select("vec_id", r6("lof"))
 
 
 @query(_base().rstrip() + _FLAGGED.replace("2.0 * smad", "4.0 * smad") + " SELECT vec_id, round(S, 6) AS s, flagged FROM f2")

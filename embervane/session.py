@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,13 @@ def builder(name: str = "embervane") -> SparkSession.Builder:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` in the folder that ``spark.checkpoint.dir`` names (a local one only where it is unset): a plan that reads
-    a table several times shouldn't repeat all that made it, and a lost executor loses nothing."""
+    """``df`` in the folder that ``spark.checkpoint.dir`` names (where it is unset, a local run has a temporary one and a
+    cluster an error): a plan that reads a table several times shouldn't repeat all that made it, and a lost executor loses nothing."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="embervane-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="embervane-"))
     return df.checkpoint(eager=True)

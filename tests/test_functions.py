@@ -71,7 +71,14 @@ def test_sample_weights(spark):
     c = [(0.2,), (0.9,)]
     w = lambda *a, **k: one(spark, confidence.sample_weight("c", *a, **k), c, "c double")
     assert w("none") == w("filter") == [None, None] and w("linear") == [0.2, 0.9] and w("power", power=2.0) == pytest.approx([0.04, 0.81])
-    assert w("clip", lo=0.5, hi=0.8) == [0.5, 0.8] and w("affine", scale=2.0, shift=1.0) == pytest.approx([1.4, 2.8])
+    assert w("clip", lo=0.5, hi=0.8) == [0.5, 0.8] and w("affine", scale=2.0, shift=1.0, hi=2.0) == pytest.approx([1.4, 2.0])
+    assert w("affine", scale=2.0, shift=-1.0) == pytest.approx([0.0, 0.8])
+    with pytest.raises(Exception, match="finite"):
+        one(spark, confidence.sample_weight("c"), [(float("nan"),)], "c double")
+    weighed = spark.createDataFrame([(0.0,), (-1.0,)], "weight double")
+    with pytest.raises(ValueError):
+        confidence.check_weights(weighed)
+    assert confidence.check_weights(weighed.limit(0)).count() == 0
     for bad in (dict(mode="power", power=0.0), dict(mode="x")):
         with pytest.raises(ValueError):
             confidence.sample_weight("c", **bad)

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -283,3 +284,29 @@ def test_escalation_and_neutral_classes(spark):
     assert got == [("suspect", pytest.approx(0.4)), ("normal", 1.0), ("flagged", 0.6)]
     assert [r.fa for r in flagging.neutralise(df, "c", ["CROPS"], "ca", "fa").collect()] == ["normal", "normal", "candidate"]
     assert text.FLAGS[0] == "normal" and vectors is not None
+
+
+def test_merging_follows_chains(spark):
+    r = random.Random(2)
+    n = {c: r.choice((1, 1, 2, 3, 9, 20)) for c in range(40) if r.random() < 0.8}
+    near = [(c, c + d) for c in n for d in (-1, 1) if c + d in n]
+    counts = spark.createDataFrame([(0, c, k) for c, k in n.items()], "lab int, cell long, n long")
+    edges = spark.createDataFrame(near, "cell long, neighbour long")
+    got = {x.cell: x.target for x in slices.merge_map(counts, edges, ["lab"], "cell", 5).collect()}
+    now, before = {c: c for c in n}, None
+    for _ in range(10):
+        size = {}
+        for c, t in now.items():
+            size[t] = size.get(t, 0) + n[c]
+        small = {t for t, k in size.items() if k < 5}
+        if not small or (before is not None and before - len(small) < 0.05 * before):
+            break
+        before, to = len(small), {}
+        for t in small:
+            options = [(-size[b], b) for a, b in near if a == t and b in size]
+            if options:
+                to[t] = min(options)[1]
+        if not to:
+            break
+        now = {c: to.get(t, t) for c, t in now.items()}
+    assert got == now
