@@ -10,12 +10,14 @@ weight(A | B).
 * Anchors.  A window that is similar has at least one of the item's first
   shingles in a fixed order, up to where what remains weighs less than the
   threshold.  So only windows around such a shingle can count (a window is placed
-  so that the shared shingle stands where it stands in the item), and the rest of
+  so that the shared shingle stands where it stands in the item; where a document's
+  placements for an item differ by less than the share of words that may differ, all
+  windows between them count too), and the rest of
   the corpus is passed over by one hash join with the benchmark's anchors.
 * Contents.  Equal windows, however many documents share them, are judged once.
 * SimHash.  Each distinct window and each item has a 64-bit SimHash of its
   weighted shingles.  The bits are cut into ``radius + 1`` blocks; fingerprints
-  within the radius agree in one block at least, so an equi-join on (L, block,
+  within the radius agree in one block at least, so an equi-join on (item, block,
   bits of the block) finds all of them; their distance is then checked.
 * Verification.  Candidates are held to the exact weighted similarity.
 
@@ -109,22 +111,20 @@ def leaks(
     place = kinds.select("it", "len", "k", F.posexplode("g").alias("off", "h")).groupBy("it", "len", "k", "h").agg(F.min("off").alias("off"))
     anchors = cut(anchors.select("it", F.col("a.h").alias("h")).join(place, ["it", "h"]))
 
-    # Every window of the corpus that holds an anchor, placed by it.
+    # Every window of the corpus that holds an anchor, placed by it; the corpus is read once for shingles of all lengths.
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), words_of(F.col(text_col)).alias("_w"))
-    found = None
-    for k in sorted(shape["ks"]):
-        mine = anchors.where(F.col("k") == k).drop("k")
-        mine = F.broadcast(mine) if shape["size"] <= MAX_BROADCAST else mine
-        part = rows.select("doc_id", "key", grams(F.col("_w"), k).alias("g")).select("doc_id", "key", "g", F.posexplode("g").alias("pos", "h"))
-        part = part.join(mine, "h")
-        n = F.size("g") + k - 1
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), n - F.col("len")))
-        part = part.withColumn("start", start).select(
-            "doc_id", "key", "start", "len", F.lit(k).alias("k"), F.slice("g", F.col("start") + 1, F.greatest(F.col("len") - k + 1, F.lit(1))).alias("g")
-        )
-        found = part if found is None else found.unionByName(part)
-    found = found.withColumn("win", F.xxhash64("g", "len", "k")).groupBy("doc_id", "key", "start", "len", "k", "win").agg(F.min("g").alias("g"))
-    found = cut(found)
+    each = F.array(*[F.struct(F.lit(k).alias("k"), grams(F.col("_w"), k).alias("g")) for k in sorted(shape["ks"])])
+    rows = rows.select("doc_id", "key", F.inline(each)).select("doc_id", "key", "k", "g", F.posexplode("g").alias("pos", "h"))
+    placed = rows.join(F.broadcast(anchors) if shape["size"] <= MAX_BROADCAST else anchors, ["k", "h"])
+    last = F.size("g") + F.col("k") - F.col("len")
+    placed = placed.withColumn("start", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), last)))
+    # Words put in or taken out move the anchors behind them: all windows between neighbouring placements of an item are looked at too.
+    of_doc = placed.groupBy("doc_id", "key", "it", "len", "k").agg(F.first("g").alias("g"), F.array_sort(F.collect_set("start")).alias("starts"))
+    near = lambda here, there: F.when(there - here <= F.greatest(F.lit(1), F.floor(F.col("len") * (1 - threshold))), there - 1).otherwise(here)
+    runs = F.transform("starts", lambda x, i: F.sequence(x, F.coalesce(near(x, F.get("starts", i + 1)), x).cast("int")))
+    found = of_doc.select("doc_id", "key", "it", "len", "k", "g", F.explode(F.flatten(runs)).alias("start"))
+    found = found.withColumn("g", F.slice("g", F.col("start") + 1, F.greatest(F.col("len") - F.col("k") + 1, F.lit(1))))
+    found = cut(found.withColumn("win", F.xxhash64("g", "len", "k")))
 
     # Each distinct content once: its weights, its fingerprint.
     contents = found.groupBy("win", "len", "k").agg(F.min("g").alias("g"))
@@ -134,9 +134,11 @@ def leaks(
     of_win = of_win.join(_simhash(weighed, "win"), "win").withColumnRenamed("fingerprint", "wf")
     of_item = kept.join(_simhash(inside, "it"), "it").withColumnRenamed("fingerprint", "itf")
 
-    left = of_win.select("win", "wf", "len", "k", F.inline(_blocks(F.col("wf"), radius)))
-    right = of_item.select("it", "itf", "len", "k", F.inline(_blocks(F.col("itf"), radius)))
-    near = left.join(right, ["len", "k", "block", "bits"]).where(F.bit_count(F.col("wf").bitwiseXOR(F.col("itf"))) <= radius)
+    # The anchors have told which item a window may be like, so the blocks meet within an item.
+    asked = found.select("win", "it").distinct()
+    left = of_win.select("win", "wf").join(asked, "win").select("win", "it", "wf", F.inline(_blocks(F.col("wf"), radius)))
+    right = of_item.select("it", "itf", F.inline(_blocks(F.col("itf"), radius)))
+    near = left.join(right, ["it", "block", "bits"]).where(F.bit_count(F.col("wf").bitwiseXOR(F.col("itf"))) <= radius)
     near = near.select("win", "it").distinct()
 
     both = near.join(of_win.select("win", "ww", "wsum"), "win").join(of_item.select("it", "weights", "sum"), "it")
@@ -146,7 +148,7 @@ def leaks(
     both = both.withColumn("inter", inter).withColumn("similarity", F.col("inter") / (F.col("sum") + F.col("wsum") - F.col("inter")))
     similar = both.where(F.col("similarity") >= threshold - 1e-9).select("win", "it", "similarity")
 
-    hits = found.select("doc_id", "key", "start", "len", "win").join(similar, "win").join(items.select("it", "item_id"), "it")
+    hits = found.select("doc_id", "key", "start", "len", "win", "it").join(similar, ["win", "it"]).join(items.select("it", "item_id"), "it")
     best = hits.groupBy("doc_id", "key", "item_id").agg(F.max(F.struct("similarity", F.negative("start").alias("s"), "len")).alias("m"))
     start = F.negative("m.s")
     return best.select("doc_id", "key", "item_id", start.alias("start"), (start + F.col("m.len")).alias("end"), F.round("m.similarity", 9).alias("similarity"))

@@ -226,3 +226,58 @@ def test_urls(spark, limit, monkeypatch):
     assert urlfilter.judge_urls(df.limit(0), rules).count() == 0
     none = local_rows(spark, [("", "", "", 0, 0, 0, 0)], "key string, rule string, verdict string, tier int, size int, labels int, path_len int").limit(0)
     assert urlfilter.judge_urls(df, none).where("verdict = 'allow'").count() == len(rows)
+
+
+def best_windows(rows, items, k=5, threshold=0.8):
+    """{(doc, item): best weighted similarity over every window of the item's length}, by plain loops."""
+    words = lambda t: [w for w in re.split(r"[^\w]+|_", t.lower()) if w]
+    grams = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+    told = {i: words(t) for i, t in items}
+    held = {}
+    for i, w in told.items():
+        for g in set(grams(w, min(k, len(w)))):
+            held.setdefault(g, set()).add(i)
+    weight = lambda g: np.log(1 + len(items) / len(held[g])) if g in held else np.log(1 + len(items))
+    out = {}
+    for d, t in rows:
+        w = words(t or "")
+        for i, x in told.items():
+            n = min(k, len(x))
+            a = set(grams(x, n))
+            all_ = grams(w, n)
+            size = len(x) - n + 1
+            if not a.intersection(all_):
+                continue
+            for s in range(max(1, len(all_) - size + 1)):
+                b = set(all_[s : s + size])
+                if a & b:
+                    both, either = (sum(map(weight, y)) for y in (a & b, a | b))
+                    out[d, i] = max(out.get((d, i), 0.0), both / either)
+    return out
+
+
+def test_leaks_equal_brute_force_over_every_window(spark, docs_of, prose):
+    r = random.Random(12)
+    items = [(i, prose(900 + i, r.choice((3, 12, 30, 45, 60)))) for i in range(30)]
+    items += [(40, items[4][1]), (41, " ".join(items[2][1].split()[:20] + prose(77, 15).split()))]
+    rows = []
+    for d in range(150):
+        w = r.choice(items)[1].split()
+        for _ in range(r.choice((0, 0, 1, 1, 2))):
+            at, kind = r.randrange(len(w)), r.random()
+            if kind < 0.6:
+                w[at] = f"e{r.randrange(99)}"
+            elif kind < 0.8:
+                w.insert(at, f"e{r.randrange(99)}")
+            elif len(w) > 1:
+                del w[at]
+        rows.append((d, f"{prose(2000 + d, r.randrange(60))} {' '.join(w)} {prose(5000 + d, r.randrange(60))}"))
+    rows += [(500, prose("unlike", 300)), (501, None), (502, "")]
+    best = best_windows(rows, items)
+    want = {x for x, v in best.items() if v >= 0.8 - 1e-9}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.leaks(docs_of(rows), bench).collect()}
+    assert not set(got) - want and len(want) > 60
+    assert all(v <= best[x] + 1e-6 for x, v in got.items())
+    close = {x for x in want if best[x] < 0.9}
+    assert len(set(got) & want) >= 0.98 * len(want) and len(set(got) & close) >= 0.9 * len(close), sorted((x, best[x]) for x in want - set(got))
