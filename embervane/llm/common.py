@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import struct
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 #: Bytes of a batch of rows on its way to a Python worker, where the session says nothing of it.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
+#: Bytes of text after which a worker returns freed memory.
+GIVE_BACK_EVERY = 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -67,13 +72,27 @@ def unstage(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def small(batches, text_at: int, limit: int = 4 << 20):
+def _give_back() -> None:
+    """Return what a worker has freed to the machine; its allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small(batches, text_at: int, limit: int = 2 << 20):
     """Arrow batches cut into slices of about ``limit`` bytes of text, so that a task holds little at a time."""
+    seen = 0
     for batch in batches:
         n = max(1, len(batch))
-        step = max(1, n * limit // max(limit, batch.column(text_at).nbytes))
+        size = batch.column(text_at).nbytes
+        step = max(1, n * limit // max(limit, size))
         for lo in range(0, len(batch), step):
             yield batch.slice(lo, step)
+        seen += size
+        if seen >= GIVE_BACK_EVERY:
+            _give_back()
+            seen = 0
+    _give_back()
 
 
 def release(spark: SparkSession) -> None:

@@ -106,7 +106,7 @@ def _sets(col: pa.Array, k: int) -> Iterator[np.ndarray]:
 def _common(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(text) -> (bucket, count) of the shingles that some thousand rows have more than once."""
-        for batch in small(batches, 0, 8 << 20):
+        for batch in small(batches, 0, 4 << 20):
             s = np.sort(np.concatenate([*_sets(batch.column(0), k), np.zeros(0, np.uint64)]))
             if not len(s):
                 continue

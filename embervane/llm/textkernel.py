@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = (1 << 20) - 4096  # with the powers table of one more entry, 2**20
+CHUNK_BYTES = (1 << 18) - 4096  # with the powers table of one more entry, 2**18
 
 _rng = np.random.default_rng(0x5EED)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
