@@ -256,6 +256,50 @@ def test_planted_outlier_is_isolated(spark):
     assert got.sample_id == "s0300"
 
 
+def factors(x, k=20):
+    """Local outlier factors, a row at a time; ties go to the smaller row."""
+    x = x.astype(np.float32).astype(float)
+    n, k = len(x), min(k, max(2, len(x) - 1), len(x) - 1)
+    d = np.array([np.sqrt(((x - v) ** 2).cumsum(1)[:, -1]) for v in x])
+    np.fill_diagonal(d, np.inf)
+    near = np.array([np.lexsort((np.arange(n), r))[:k] for r in d])
+    kd = d[np.arange(n), near[:, -1]]
+    lrd = 1 / (np.maximum(np.take_along_axis(d, near, 1), kd[near]).mean(1) + 1e-10)
+    return lrd[near].mean(1) / lrd
+
+
+def lof_frames():
+    r = np.random.default_rng(8)
+    copies = r.normal(size=(450, 8))
+    copies[50:200], copies[300:306], copies[0] = copies[7], copies[8], 1e6
+    return {"plain": r.normal(size=(450, 8)) + 1e3, "copies": copies, "ties": r.integers(0, 3, (450, 4)).astype(float), "close": copies[7] + r.normal(0, 1e-5, (450, 8))}
+
+
+@pytest.mark.parametrize("name", list(lof_frames()))
+@pytest.mark.parametrize("stripe", [4096, 64 << 20])
+def test_lof_of_all_rows_has_no_limit(spark, monkeypatch, name, stripe):
+    for limit, v in (("MAX_GROUP", 200), ("WIDE_BLOCK", 64), ("STRIPE", stripe)):
+        monkeypatch.setattr(kernels, limit, v, raising=False)
+    x = lof_frames()[name]
+    got = kernels.lof(frame(spark, x).repartition(5, F.reverse("sample_id")), [], "sample_id").orderBy("sample_id").collect()
+    assert [r.lof for r in got] == pytest.approx(factors(x), rel=1e-9)
+
+
+@pytest.mark.parametrize("name", ["copies", "ties"])
+def test_lof_of_a_slice_with_copies_and_ties(spark, name):
+    x = lof_frames()[name]
+    got = kernels.lof(frame(spark, x, k=["a"] * 450).orderBy(F.desc("sample_id")), ["k"], "sample_id").orderBy("sample_id").collect()
+    assert [r.lof for r in got] == pytest.approx(factors(x), rel=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 22])
+def test_lof_of_few_rows_and_of_rows_without_a_vector(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 4))
+    df = frame(spark, x).unionByName(spark.createDataFrame([("t0", None), ("t1", [1.0, float("nan"), 0.0, 0.0])], "sample_id string, embedding array<float>"))
+    got = [r.lof for r in kernels.lof(df, [], "sample_id").orderBy("sample_id").collect()]
+    assert got[:n] == pytest.approx(factors(x) if n > 1 else [1.0]) and got[n:] == [None, None]
+
+
 def test_scenarios_views_and_splits(spark):
     flags = ["normal", "flagged", "suspect", "candidate"]
     df = spark.createDataFrame([(i, flags[i % 4], None if i == 7 else (i % 100) / 50, [50, 95, 100][i % 3], f"g{i % 9}") for i in range(400)], "i long, anomaly_flag string, confidence double, q int, g string")
