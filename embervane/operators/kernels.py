@@ -20,7 +20,7 @@ from ..session import cut
 
 BLOCK = 1024
 #: Rows of a block where all rows of a table are compared, and bytes of vectors that one task compares with a block.
-WIDE_BLOCK, STRIPE = 2048, 64 << 20
+WIDE_BLOCK, STRIPE = 1536, 64 << 20
 #: Rows of a group beyond which a kernel refuses: its distances are all pairs of one task.
 MAX_GROUP = 50_000
 
@@ -152,15 +152,16 @@ class _Nearest:
             i, c = np.divmod(np.flatnonzero(bound <= form(self.limit)), len(y))
             over = np.bincount(i, minlength=len(self.x)) > 4 * self.k
             many, i, c = np.flatnonzero(over), i[~over[i]], c[~over[i]]
-        if len(many):  # a limit from the rows that seem nearest, and bounds in double precision
-            bound, form = self._bounds(many, y, np.float64)
+        for lo in range(0, len(many), 256):  # a limit from the rows that seem nearest, and bounds in double precision
+            part = many[lo : lo + 256]
+            bound, form = self._bounds(part, y, np.float64)
             m = min(self.k + 1, len(y))
             seem = np.argpartition(bound, m - 1, axis=1)[:, :m]
-            d = np.sort(self._distance(np.repeat(many, m), y, yrow, seem.ravel()).reshape(seem.shape), axis=1)
+            d = np.sort(self._distance(np.repeat(part, m), y, yrow, seem.ravel()).reshape(seem.shape), axis=1)
             if m >= self.k:
-                self.limit[many] = np.minimum(self.limit[many], d[:, self.k - 1])
-            at, other = np.divmod(np.flatnonzero(bound <= form(self.limit[many])), len(y))
-            i, c = np.concatenate([i, many[at]]), np.concatenate([c, other])
+                self.limit[part] = np.minimum(self.limit[part], d[:, self.k - 1])
+            at, other = np.divmod(np.flatnonzero(bound <= form(self.limit[part])), len(y))
+            i, c = np.concatenate([i, part[at]]), np.concatenate([c, other])
         d = self._distance(i, y, yrow, c)
         keep = (d <= self.limit[i]) & (d < np.inf)
         self.found.append((i[keep], d[keep], yrow[c[keep]]))
@@ -251,7 +252,14 @@ def _lof_all(df: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
     if stripes > 1:
         found = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "j")))), 1, kk)
         near = near.groupBy("_row").agg(found.alias("_near")).select("_row", F.col("_near.d").alias("d"), F.col("_near.j").alias("j"))
-    near = cut(near)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"  # a row is a pair of blocks
+    conf = df.sparkSession.conf
+    before = conf.get(name, None)
+    conf.set(name, "4m")
+    try:
+        near = cut(near)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
     edges = near.select("_row", F.inline(F.arrays_zip("d", "j")))
     reach = near.select(F.col("_row").alias("j"), F.element_at("d", -1).alias("_kd"))
     dense = cut(edges.join(reach, "j").groupBy("_row").agg((1 / (F.avg(F.greatest("d", "_kd")) + 1e-10)).alias("_lrd")))
